@@ -113,7 +113,7 @@ def obligation_signals(text: Column, patterns: dict[str, str] | None = None) ->
     return F.array_compact(
         F.array(
             *[
-                F.when(text.rlike(f"(?i){p}"), F.lit(name))
+                F.when(text.rlike(f"(?iU){p}"), F.lit(name))
                 for name, p in (patterns or SIGNAL_PATTERNS).items()
             ]
         )
