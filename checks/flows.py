@@ -1 +1,144 @@
+"""Streaming ingest, stage metrics and model calls."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from checks.base import WS, query, table
+from checks.transactions import LINES, lines
+from tallywarden.operators import chunking as ck
+from tallywarden.operators import scoring
+from tallywarden.operators.scoring import RateLimited
+from tallywarden.plans import jobs
+from tallywarden.session import scratch_path
+from tallywarden.streaming import microbatch as mb
+
+STREAM_SCHEMA = (
+    T.StructType()
+    .add("row_idx", "long")
+    .add("l_returnflag", "string")
+    .add("l_linestatus", "string")
+    .add("shipdate", "string")
+    .add("chunk", "long")
+)
+
+
+def streamed(spark, sf) -> tuple[str, str]:
+    """Line items as CSV files, ingested by a stream; paths of rows and metrics."""
+    base = scratch_path(spark, "stream")
+    chunked = lines(spark, sf).withColumn("chunk", F.floor(F.col("row_idx") / 10000))
+    # A chunk is in one file: its rows are searched for duplicates together.
+    chunked.repartition(8, "chunk").write.option("header", True).csv(f"{base}/in")
+    mb.ingest(
+        spark, f"{base}/in", STREAM_SCHEMA, f"{base}/rows", f"{base}/metrics",
+        f"{base}/checkpoint", "row_idx", "chunk", files_per_batch=4,
+    )
+    return f"{base}/rows", f"{base}/metrics"
+
+
+@query(
+    "x1_streamed_rows",
+    f"""WITH {LINES} SELECT CAST(row_idx // 10000 AS BIGINT) AS chunk, l_returnflag, l_linestatus, shipdate,
+          min(row_idx) AS row_idx FROM lines GROUP BY ALL""",
+)
+def _(spark, sf):
+    rows, _metrics = streamed(spark, sf)
+    return spark.read.parquet(rows).drop("batch_id")
+
+
+@query(
+    "x2_running_totals",
+    f"""WITH {LINES}, k AS (SELECT DISTINCT row_idx // 10000, l_returnflag, l_linestatus, shipdate FROM lines)
+        SELECT count(*) AS rows_input, (SELECT count(*) FROM k) AS rows_stored, count(*) - (SELECT count(*) FROM k) AS rows_dropped,
+          TRUE AS compliance_passed FROM lines""",
+)
+def _(spark, sf):
+    _rows, metrics = streamed(spark, sf)
+    return mb.running_totals(spark.read.parquet(metrics))
+
+
+@query(
+    "x3_stage_counts",
+    f"""SELECT 'pages' AS stage, count(*) AS n FROM documents
+        UNION ALL SELECT 'readable', count(*) FROM documents WHERE length(trim(text, {WS})) >= 80
+        UNION ALL SELECT 'classified', count(DISTINCT source) FROM documents""",
+)
+def _(spark, sf):
+    d = table(spark, sf, "documents")
+    stages = {
+        "pages": d.agg(F.count("*").alias("n")),
+        "readable": ck.readable_pages(d, "text").agg(F.count("*").alias("n")),
+        "classified": d.agg(F.count_distinct("source").alias("n")),
+    }
+    out = None
+    for name, counted in stages.items():
+        one = counted.select(F.lit(name).alias("stage"), "n")
+        out = one if out is None else out.unionAll(one)
+    return out
+
+
+def _first(prompt: str) -> str:
+    if len(prompt) % 3 == 0:
+        raise RateLimited("first")
+    if len(prompt) % 7 == 0:
+        raise ValueError("no answer")
+    return "{}"
+
+
+def _second(prompt: str) -> str:
+    if len(prompt) % 5 == 0:
+        raise RateLimited("second")
+    return "{}"
+
+
+@query(
+    "v1_scored_batches",
+    """WITH o AS (SELECT CASE WHEN n % 3 > 0 THEN 'first' ELSE 'second' END AS provider,
+         CASE WHEN n % 3 > 0 THEN CASE WHEN n % 7 = 0 THEN 'error' ELSE 'completed' END
+           WHEN n % 5 = 0 THEN 'rate_limited' ELSE 'completed' END AS outcome FROM (SELECT length(text) AS n FROM documents))
+       SELECT provider, outcome, count(*) AS batches FROM o GROUP BY ALL""",
+)
+def _(spark, sf):
+    prompts = table(spark, sf, "documents").select("doc_id", F.col("text").alias("prompt"))
+    scored = scoring.score_batches(prompts, [("first", _first), ("second", _second)], parallel=8)
+    return scoring.outcome_counts(scored)
+
+
+class _Flaky:
+    """Gives a usable answer on the second try only for prompts of even length."""
+
+    def __init__(self):
+        self.seen = {}
+
+    def __call__(self, prompt: str) -> str:
+        self.seen[prompt] = self.seen.get(prompt, 0) + 1
+        if len(prompt) % 2 == 0 and self.seen[prompt] > 1:
+            return '{"rules": []}'
+        return "not json"
+
+
+@query(
+    "v2_retried_answers",
+    """SELECT CASE WHEN length(text) % 2 = 0 THEN '{"rules": []}' ELSE '{}' END AS answer, count(*) AS prompts FROM documents GROUP BY 1""",
+)
+def _(spark, sf):
+    prompts = table(spark, sf, "documents").select("doc_id", F.col("text").alias("prompt"))
+    # Copies of a text share a partition's scorer, so each prompt is made its own.
+    prompts = prompts.withColumn(
+        "prompt", F.concat("prompt", F.lpad(F.col("doc_id").cast("string"), 12, "0"))
+    )
+    scorer = scoring.with_retries(_Flaky(), lambda a: a.startswith("{"))
+    scored = scoring.score_batches(prompts, [("only", scorer)])
+    return scored.groupBy("answer").agg(F.count("*").alias("prompts"))
+
+
+@query(
+    "clean_transactions",
+    f"""WITH {LINES} SELECT l_returnflag, l_linestatus, shipdate, min(row_idx) AS row_idx FROM lines GROUP BY ALL""",
+)
+def _(spark, sf):
+    cleaned = jobs.clean_transactions(lines(spark, sf).withColumn("country", F.lit("XX")), "row_idx")
+    path = scratch_path(spark, "clean")
+    assert jobs.store_if_passed(cleaned, path)
+    return spark.read.parquet(path)

@@ -39,14 +39,16 @@ def _(spark, sf):
 
 @query(
     "f9_edit_ratio",
-    """SELECT a.doc_id, round(1 - levenshtein(split_part(a.text, '.', 1), split_part(b.text, '.', 1))
-         / greatest(length(split_part(a.text, '.', 1)), length(split_part(b.text, '.', 1))), 6) AS ratio
-       FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1""",
+    """WITH d AS (SELECT doc_id, regexp_replace(split_part(text, '.', 1), '[^ -~]', '', 'g') AS t FROM documents)
+       SELECT a.doc_id, round(1 - levenshtein(a.t, b.t) / greatest(length(a.t), length(b.t)), 6) AS ratio
+       FROM d a JOIN d b ON b.doc_id = a.doc_id + 1 WHERE a.t <> '' OR b.t <> ''""",
 )
 def _(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", F.substring_index("text", ".", 1).alias("t"))
+    t = F.regexp_replace(F.substring_index("text", ".", 1), "[^ -~]", "")
+    d = table(spark, sf, "documents").select("doc_id", t.alias("t"))
     shifted = d.select((F.col("doc_id") - 1).alias("doc_id"), F.col("t").alias("u"))
-    return d.join(shifted, "doc_id").select("doc_id", F.round(sm.edit_ratio(F.col("t"), F.col("u")), 6).alias("ratio"))
+    ratio = F.round(sm.edit_ratio(F.col("t"), F.col("u")), 6)
+    return d.join(shifted, "doc_id").filter("t <> '' or u <> ''").select("doc_id", ratio.alias("ratio"))
 
 
 @query("f9_gestalt_ratio")

@@ -12,9 +12,14 @@ from tallywarden.operators import ordering, profile, summary
 from tallywarden.session import scratch_path
 from tallywarden.sources import tables as src
 
-ORDER_CSV = T.StructType.fromDDL(
-    "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, "
-    "o_orderdate date, o_orderpriority string"
+ORDER_CSV = (
+    T.StructType()
+    .add("o_orderkey", "long")
+    .add("o_custkey", "long")
+    .add("o_orderstatus", "string")
+    .add("o_totalprice", "double")
+    .add("o_orderdate", "date")
+    .add("o_orderpriority", "string")
 )
 
 
