@@ -11,7 +11,7 @@ from tallywarden.operators import chunking as ck
 from tallywarden.operators import documents as dc
 from tallywarden.operators import registry, summary
 from tallywarden.operators.ordering import row_numbers
-from tallywarden.session import scratch_path
+from tallywarden.session import cut_lineage, scratch_path
 from tallywarden.sources.tables import store
 
 NL = r"\n"
@@ -211,8 +211,10 @@ KEPT = f"""{CHUNKS}, kept AS (SELECT source, doc_id, text, paragraph_number, chu
 
 
 def batched(spark, sf, block_size=65536):
+    # The chunk table is a stored table between chunking and batching.
+    stored = cut_lineage(ck.policy_chunks(chunks(spark, sf)))
     kept = row_numbers(
-        ck.policy_chunks(chunks(spark, sf)), ["source"], ["chunk_index"],
+        stored, ["source"], ["chunk_index"],
         F.floor(F.col("chunk_index") / 4096), "n",
     ).withColumn("kept_index", F.col("n") - 1)
     return ck.batch_chunks(kept.drop("n"), "source", "kept_index", block_size=block_size)

@@ -100,7 +100,7 @@ def pipe_labels(c: Column) -> Column:
 
 def first_line(c: Column) -> Column:
     """First non-empty line, stripped."""
-    return F.try_element_at(paragraphs(c, r"\n"), F.lit(1))
+    return strip(F.substring_index(strip(c), "\n", 1))
 
 
 def fill_template(template: Column, values: dict[str, Column]) -> Column:
@@ -113,32 +113,48 @@ def fill_template(template: Column, values: dict[str, Column]) -> Column:
     return out
 
 
-def windows(c: Column, size: int = 500, overlap: int = 50, snap: bool = True) -> Column:
+def pieces(c: Column, step: int = 450) -> Column:
+    """The text cut every ``step`` characters, in one pass over it."""
+    return F.regexp_extract_all(c, F.lit(rf"(?s).{{1,{step}}}"), F.lit(0))
+
+
+def windows(cut: str, size: int = 500, overlap: int = 50, snap: bool = True) -> Column:
     """Overlapping windows as array<struct<char_start, char_end, text>>.
 
-    Edges lie on the fixed grid ``k * (size - overlap)``; with ``snap`` an edge
-    moves back to just behind the last white space of the ``overlap`` characters
-    before it. An edge never moves further than the overlap, so no character is
-    lost, and each window depends on the text alone, not on its predecessor.
+    ``cut`` names a column made by ``pieces(text, size - overlap)``. Edges lie on
+    the fixed grid ``k * (size - overlap)``; with ``snap`` an edge moves back to
+    just behind the last white space of the ``overlap`` characters before it. An
+    edge never moves further than the overlap, so no character is lost, and a
+    window looks at its own piece and the two next to it only: the work grows
+    with the length of the text.
     """
     step = size - overlap
-    n = F.length(c)
-    last = F.greatest(F.lit(0), F.ceil((n - size) / F.lit(step))).cast("int")
+    count = F.size(cut)
+    # The window over the piece before the last takes a short last piece with it.
+    tail = F.length(F.element_at(cut, -1))
+    last = F.when((count > 1) & (tail <= overlap), count - 2).otherwise(count - 1)
 
-    def edge(x: Column) -> Column:
+    def back(text: Column) -> Column:
+        """How many of these characters come after the last white space."""
         if not snap:
-            return x
-        before = c.substr(x - overlap + 1, F.lit(overlap))
-        kept = F.length(F.regexp_extract(before, r"(?s)\A.*\s", 0))
-        return F.when(kept > 0, x - overlap + kept).otherwise(x)
+            return F.lit(0)
+        kept = F.length(F.regexp_extract(text, r"(?s)\A.*\s", 0))
+        return F.when(kept > 0, F.length(text) - kept).otherwise(0)
 
     def window(k: Column) -> Column:
-        start = F.when(k == 0, F.lit(0)).otherwise(edge(k * step)).cast("int")
-        end = F.when(k == last, n).otherwise(edge(k * step + size)).cast("int")
+        own = F.get(cut, k)
+        before = F.right(F.get(cut, k - 1), F.lit(overlap))
+        after = F.left(F.coalesce(F.get(cut, k + 1), F.lit("")), F.lit(overlap))
+        lead = F.when(k == 0, 0).otherwise(back(before))
+        keep = F.when(k == last, F.length(after)).otherwise(F.length(after) - back(after))
+        text = F.concat(
+            F.when(lead > 0, F.right(before, lead)).otherwise(""), own, F.left(after, keep)
+        )
+        start = k * step - lead
         return F.struct(
-            start.alias("char_start"),
-            end.alias("char_end"),
-            strip(c.substr(start + 1, end - start)).alias("text"),
+            start.cast("int").alias("char_start"),
+            (k * step + F.length(own) + keep).cast("int").alias("char_end"),
+            strip(text).alias("text"),
         )
 
     return F.transform(F.sequence(F.lit(0), last), window)

@@ -10,6 +10,7 @@ from tallywarden.functions.text import (
     first_line,
     letter_ratio,
     paragraphs,
+    pieces,
     section_marker,
     strip,
     token_estimate,
@@ -82,35 +83,41 @@ def chunk_pages(
         df.select(doc, page, paragraphs(F.col(text), separator).alias("__paras"))
         .withColumn("__len", F.transform("__paras", F.length))
         .withColumn("__starts", bin_starts("__len", limit))
-        .withColumn("__marks", F.transform("__paras", lambda p: section_marker(p, patterns)))
     )
 
-    def build(start: Column, i: Column) -> Column:
-        end = F.coalesce(F.get("__starts", i + 1), F.size("__paras"))
-        body = F.array_join(F.slice("__paras", start + 1, end - start), "\n\n")
-        seen = F.filter(F.slice("__marks", F.lit(1), end), lambda m: m != "")
+    def measure(start: Column, i: Column) -> Column:
+        end = F.coalesce(F.get("__starts", i + 1), F.size("__len"))
+        chars = F.aggregate(
+            F.slice("__len", start + 1, end - start), F.lit(0), lambda s, n: s + n
+        )
         return F.struct(
-            i.alias("bin"),
-            body.alias("text"),
-            F.coalesce(F.try_element_at(seen, F.lit(-1)), F.lit("")).alias("marker"),
+            start.alias("start"), end.alias("end"), (chars + 2 * (end - start - 1)).alias("chars")
         )
 
-    chunked = packed.select(
-        doc, page, F.transform("__starts", build).alias("__all")
-    ).select(
-        doc, page, F.filter("__all", lambda c: F.length(c["text"]) >= min_chars).alias("__kept")
+    # Which chunks are long enough is known from lengths alone, so counting them
+    # for the numbering builds no chunk text.
+    measured = packed.withColumn("__all", F.transform("__starts", measure)).select(
+        doc, page, "__paras", F.filter("__all", lambda b: b["chars"] >= min_chars).alias("__kept")
     )
     numbered = running(
-        chunked,
+        measured,
         [doc],
         [page],
         F.floor(F.col(page) / F.lit(pages_per_block)),
         F.size("__kept").cast("long"),
         "__before",
         inclusive=False,
-    )
+    ).withColumn("__marks", F.transform("__paras", lambda p: section_marker(p, patterns)))
+
+    def build(b: Column) -> Column:
+        seen = F.filter(F.slice("__marks", F.lit(1), b["end"]), lambda m: m != "")
+        return F.struct(
+            F.array_join(F.slice("__paras", b["start"] + 1, b["end"] - b["start"]), "\n\n").alias("text"),
+            F.coalesce(F.try_element_at(seen, F.lit(-1)), F.lit("")).alias("marker"),
+        )
+
     rows = numbered.select(
-        doc, page, "__before", F.posexplode("__kept").alias("__i", "c")
+        doc, page, "__before", F.posexplode(F.transform("__kept", build)).alias("__i", "c")
     ).withColumn("chunk_index", F.col("__before") + F.col("__i"))
     return rows.select(
         doc,
@@ -204,12 +211,13 @@ def window_chunks(
     df: DataFrame, keep: list[str], text: str, size: int = 500, overlap: int = 50, snap: bool = True
 ) -> DataFrame:
     """Overlapping character windows with true offsets and the page's first line."""
-    return (
-        df.filter(strip(F.col(text)) != "")
-        .select(
-            *keep,
-            first_line(F.col(text)).alias("section_title"),
-            F.posexplode(windows(F.col(text), size, overlap, snap)).alias("chunk_index", "w"),
-        )
-        .select(*keep, "section_title", "chunk_index", "w.*")
+    cut = df.filter(strip(F.col(text)) != "").select(
+        *keep,
+        first_line(F.col(text)).alias("section_title"),
+        pieces(F.col(text), size - overlap).alias("__cut"),
     )
+    return cut.select(
+        *keep,
+        "section_title",
+        F.posexplode(windows("__cut", size, overlap, snap)).alias("chunk_index", "w"),
+    ).select(*keep, "section_title", "chunk_index", "w.*")

@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallywarden.session import cut_lineage
+
 
 def bin_starts(weights: str, capacity: int) -> Column:
     """0-based positions at which a new bin opens, for an array column.
@@ -97,8 +99,11 @@ def greedy_bins(
 
     ``order`` numbers the items of a key 0, 1, 2, ... without gaps.
     """
-    slim = df.select(
-        F.col(key), F.col(order).cast("long").alias("__pos"), F.col(weight).cast("long").alias("__w")
+    # Read several times below: kept as a narrow table instead of made again.
+    slim = cut_lineage(
+        df.select(
+            F.col(key), F.col(order).cast("long").alias("__pos"), F.col(weight).cast("long").alias("__w")
+        )
     )
     sizes = slim.groupBy(key).agg(F.max("__pos").alias("__last"))
     short_keys = sizes.filter(F.col("__last") < block_size).select(key)
@@ -119,6 +124,9 @@ def greedy_bins(
         F.col("__bin").cast("long").alias(out),
     ).select(key, F.col("__item.__pos").alias("__pos"), out)
 
+    if long_keys.isEmpty():
+        return df.join(short.withColumnRenamed("__pos", order), [key, order])
+
     long_items = slim.join(long_keys, key, "left_semi").withColumn(
         "__block", F.floor(F.col("__pos") / F.lit(block_size))
     )

@@ -35,3 +35,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_dir(spark))
     return df.checkpoint(eager=True)
+
+
+def width(spark: SparkSession) -> int:
+    """Partitions for a stage whose work is large for its bytes.
+
+    A fixed number keeps adaptive execution from merging such partitions, which
+    look small, into a few slow tasks.
+    """
+    return max(
+        int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism
+    )

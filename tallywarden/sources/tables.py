@@ -102,6 +102,17 @@ def stream_csv(
     return _typed(raw, schema)
 
 
+def read_table(spark: SparkSession, path: str, spread: bool = False) -> DataFrame:
+    """A Parquet table. ``spread`` is for tables of long texts: if the scan has
+    fewer partitions than the cluster has cores, its rows are dealt out to all
+    of them. A large table has more partitions and is left as it is."""
+    df = spark.read.parquet(path)
+    cores = spark.sparkContext.defaultParallelism
+    if spread and df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df
+
+
 def store(df: DataFrame, path: str, mode: str = "overwrite", partition_by: list[str] | None = None) -> None:
     """Replace or append to a Parquet table."""
     df.write.mode(mode).partitionBy(*(partition_by or [])).parquet(path)
