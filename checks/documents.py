@@ -11,6 +11,7 @@ from tallywarden.operators import chunking as ck
 from tallywarden.operators import documents as dc
 from tallywarden.operators import registry, summary
 from tallywarden.operators.ordering import row_numbers
+from tallywarden.plans import jobs
 from tallywarden.session import cut_lineage, scratch_path
 from tallywarden.sources.tables import store
 
@@ -477,3 +478,19 @@ def _(spark, sf):
     second = table(spark, sf, "benchmark").withColumnRenamed("item_id", "doc_id")
     got = dc.fill_empty_pages(d, second, ["doc_id"], "text")
     return got.select("doc_id", F.md5("text").alias("text_md5"))
+
+
+@query(
+    "chunk_and_batch_documents",
+    f"""WITH RECURSIVE {PROMPTS} SELECT source, batch_no, chunks, count(*) OVER (PARTITION BY source) AS batches,
+          md5('Batch ' || (batch_no + 1) || ' of ' || count(*) OVER (PARTITION BY source) || '.' || chr(10) || chr(10) || body) AS prompt_md5
+        FROM prompts""",
+)
+def _(spark, sf):
+    path = scratch_path(spark, "policy-chunks")
+    made = jobs.chunk_documents(
+        docs(spark, sf), "source", "doc_id", "text", separator=NL, patterns=MARKERS
+    )
+    store(made, path)
+    prompts = jobs.batch_documents(spark.read.parquet(path), "source", "doc_id")
+    return prompts.withColumn("prompt_md5", F.md5("prompt")).drop("prompt")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from checks.base import RULES, query, rules_of_documents, table
 from tallywarden.operators import audit, evaluate, registry, summary
 from tallywarden.operators.ordering import row_numbers
+from tallywarden.plans import jobs
 
 AS_OF = "2026-01-01"
 MESSAGE = "{transaction_id}: {amount} by customer {customer_id} on {transaction_date} ({threshold_value})"
@@ -434,3 +435,20 @@ def _(spark, sf):
 
     routed = view(spark, sf).withColumn("route", verify_route(F.col("severity")))
     return routed.groupBy("route").agg(F.count("*").alias("rules"))
+
+
+@query(
+    "evaluate_rules",
+    f"""WITH {BROKEN} SELECT (SELECT count(*) FROM tx) AS total_rows, count(*) AS violations, count(DISTINCT transaction_id) AS violated_rows,
+          (SELECT string_agg(rule_id, ',') FROM book WHERE rule_id = 'R8') AS not_evaluated FROM broken""",
+)
+def _(spark, sf):
+    done = jobs.evaluate_rules(transactions(spark, sf), book(spark), ["transaction_id"], {})
+    skipped = done.not_evaluated.agg(F.array_join(F.array_sort(F.collect_list("rule_id")), ",").alias("r"))
+    counts = done.per_rule.agg(F.sum("violations").alias("violations"))
+    return done.totals.select(
+        "total_rows",
+        counts.scalar().alias("violations"),
+        F.col("violation_count").alias("violated_rows"),
+        skipped.scalar().alias("not_evaluated"),
+    )

@@ -8,7 +8,7 @@ from checks.base import RULES, query, rules_of_documents, table
 from tallywarden.operators import registry as rg
 from tallywarden.operators import summary
 from tallywarden.session import scratch_path
-from tallywarden.sources.tables import store, write_rule_files
+from tallywarden.sources.tables import read_rule_files, store, write_rule_files
 
 
 def rules(spark, sf):
@@ -32,27 +32,29 @@ def _(spark, sf):
     return got.withColumn("tags", F.size(F.from_json("metadata_tags", "array<string>"))).drop("metadata_tags")
 
 
+RULE_FILE = "rule_id string, title string, severity string, idx long"
+
+
 @query("s6_rule_files", f"WITH {RULES} SELECT rule_id, title, severity, idx FROM rules")
 def _(spark, sf):
     path = scratch_path(spark, "rule-files")
-    write_rule_files(rules(spark, sf).select("rule_id", "title", "severity", "idx"), path)
-    return spark.read.schema("rule_id string, title string, severity string, idx long").json(path)
+    r = rules(spark, sf)
+    write_rule_files(r.select("rule_id", "title", "severity", "idx"), path)
+    # Cut off lines, one per rule of a language, must not add rows.
+    cut = r.filter("lang = 'de'").select(F.concat(F.lit('{"rule_id": "'), "rule_id").alias("value"))
+    cut.write.mode("append").text(path)
+    return read_rule_files(spark, path, RULE_FILE, lines=True)
 
 
 @query(
-    "s7_rule_arrays",
-    f"WITH {RULES} SELECT rule_id, title, severity FROM rules",
+    "s7_rule_file_sink",
+    f"""WITH {RULES} SELECT severity, count(*) AS rules, min(rule_id) AS first_rule FROM rules GROUP BY 1""",
 )
 def _(spark, sf):
-    path = scratch_path(spark, "rule-arrays")
-    one = F.to_json(F.array(F.struct("rule_id", "title", "severity")))
-    good = rules(spark, sf).select("category", one.alias("value"))
-    good.select("value").write.text(path + "/good")
-    # One file per rule would be small files; arrays on a line each read the same.
-    rows = spark.read.text(path + "/good").select(
-        F.explode(F.from_json("value", "array<struct<rule_id:string,title:string,severity:string>>")).alias("r")
-    )
-    return rows.select("r.*")
+    path = scratch_path(spark, "rule-files")
+    write_rule_files(rules(spark, sf).select("rule_id", "severity"), path)
+    got = spark.read.text(path).select(F.from_json("value", "rule_id string, severity string").alias("r"))
+    return got.groupBy("r.severity").agg(F.count("*").alias("rules"), F.min("r.rule_id").alias("first_rule"))
 
 
 @query(

@@ -118,12 +118,13 @@ def store(df: DataFrame, path: str, mode: str = "overwrite", partition_by: list[
     df.write.mode(mode).partitionBy(*(partition_by or [])).parquet(path)
 
 
-def read_rule_files(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """JSON rule files (arrays of objects); a broken file adds no rows."""
+def read_rule_files(spark: SparkSession, path: str, schema: str, lines: bool = False) -> DataFrame:
+    """JSON rule files: an array of objects each or, with ``lines``, an object a
+    line. A broken file (or line) adds no rows."""
     full = T.StructType.fromDDL(schema).add("__broken", T.StringType())
     read = (
         spark.read.schema(full)
-        .option("multiLine", True)
+        .option("multiLine", not lines)
         .option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", "__broken")
         .json(path)

@@ -270,3 +270,36 @@ def test_embeddings_are_unit_vectors(spark):
     df = spark.createDataFrame([("cash report",), ("cash limit rule",)], "text string")
     for r in embed(df, "text", features=64).collect():
         assert abs(sum(x * x for x in r.embedding) - 1) < 1e-5 or sum(r.embedding) == 0
+
+
+def test_rule_files_skip_broken_ones(spark, tmp_path):
+    from tallywarden.sources.tables import read_rule_files
+
+    (tmp_path / "a.json").write_text('[{"rule_id": "a", "title": "x"}, {"rule_id": "b"}]')
+    (tmp_path / "b.json").write_text('[{"rule_id": "c", ')
+    got = read_rule_files(spark, str(tmp_path), "rule_id string, title string").collect()
+    assert sorted(map(tuple, got)) == [("a", "x"), ("b", None)]
+
+
+def test_delta_candidates_merge_both_sources(spark):
+    old = spark.sql(
+        """select * from values ('r1', 't', 'every customer must be identified before opening', array(1d, 0d)),
+           ('r2', 't', 'nothing alike', array(0d, 1d)), ('r3', 'other', 'x', array(0d, 1d)) x(rule_id, tenant, source_clause, embedding)"""
+    )
+    new = spark.sql(
+        """select * from values ('n1', 't', 'Customer must be identified', array(0.99d, 0.1d)),
+           ('n2', 't', 'no such words', array(0.01d, 1d)), ('n3', 't', 'no such words', array(-1d, 0d)) x(new_id, tenant, source_clause, embedding)"""
+    )
+    got = jobs.delta_candidates(new, "new_id", old, ["tenant"]).collect()
+    told = {(r.new_id, r.rule_id): (r.source, round(r.distance, 3)) for r in got}
+    assert told == {("n1", "r1"): ("vector", 0.005), ("n2", "r2"): ("vector", 0.0)}
+    text = spark.sql("select 'n1' new_id, 't' tenant, 'MUST be identified' source_clause, array(0d, -1d) embedding")
+    got = jobs.delta_candidates(text, "new_id", old, ["tenant"]).collect()
+    assert [(r.rule_id, r.source, float(r.distance)) for r in got] == [("r1", "clause", 0.1)]
+
+
+def test_top_rows_per_key_are_cut_before_the_shuffle(spark):
+    from tallywarden.operators.ordering import top_per_key
+
+    plan = top_per_key(spark.range(10).withColumn("k", F.col("id") % 2), ["k"], ["id"], 3)
+    assert "WindowGroupLimit" in plan._jdf.queryExecution().executedPlan().toString()
