@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallywarden.llm.common import crc_mod, table
+from tallywarden.llm.common import table
 
 QUERIES = {}
 ORACLE = {}
@@ -33,3 +33,95 @@ def suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("spans").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
     )
+
+
+@query("op1_exact_top_k")
+def exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallywarden.llm.topk import top_k
+
+    rows = table(spark, sf_dir, "embeddings")
+    whole = F.transform("embedding", lambda x: F.floor(F.lit(1024.0) * x.cast("double")))
+    fine = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
+    vectors = rows.filter("embedding IS NOT NULL").filter(fine).select("vec_id", whole.alias("v"))
+    return top_k(vectors.filter("vec_id % 100 = 0"), vectors, k=10)
+
+
+ORACLE["op1_exact_top_k"] = """
+WITH v AS (
+  SELECT DISTINCT vec_id, list_transform(embedding, x -> CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id,
+    CAST(list_sum(list_transform(list_zip(q.v, c.v), p -> coalesce(p[1] * p[2], 0))) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id),
+ranked AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+    vec_id, score
+  FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
+"""
+
+
+@query("op3_quality_classifier")
+def quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallywarden.llm.quality import quality_scores
+
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op4_benchmark_decontamination")
+def benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallywarden.llm.decontaminate import decontaminate
+
+    found = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+_WORDS = "regexp_extract_all(translate({t}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+ORACLE["op4_benchmark_decontamination"] = f"""
+WITH d AS (SELECT doc_id, coalesce({_WORDS.format(t="text")}, []) AS ws FROM documents WHERE doc_id IS NOT NULL),
+b AS (SELECT item_id, coalesce({_WORDS.format(t="text")}, []) AS ws FROM benchmark WHERE item_id IS NOT NULL),
+w AS (
+  SELECT DISTINCT item_id, least(len(ws), 10) AS n,
+    unnest(list_transform(range(0, len(ws) - least(len(ws), 10) + 1), i -> array_to_string(ws[i + 1 : i + least(len(ws), 10)], ' '))) AS window
+  FROM b WHERE len(ws) > 0),
+ns AS (SELECT DISTINCT n FROM w),
+dw AS (
+  SELECT doc_id, n, unnest(range(0, len(ws) - n + 1)) AS pos,
+    unnest(list_transform(range(0, len(ws) - n + 1), i -> array_to_string(ws[i + 1 : i + n], ' '))) AS window
+  FROM d, ns WHERE len(ws) >= n),
+hit AS (SELECT doc_id, item_id, pos, dw.n FROM dw JOIN w ON dw.n = w.n AND dw.window = w.window),
+items AS (
+  SELECT doc_id, count(DISTINCT item_id) AS n_items,
+    string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids
+  FROM hit GROUP BY doc_id),
+words_hit AS (
+  SELECT doc_id, count(DISTINCT p) AS n_hit
+  FROM (SELECT doc_id, unnest(range(pos, pos + n)) AS p FROM hit) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN items ON d.doc_id = items.doc_id LEFT JOIN words_hit ON d.doc_id = words_hit.doc_id
+"""
+
+
+@query("op5_ngram_jaccard_join")
+def ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallywarden.llm.jaccard import similar_documents
+
+    return similar_documents(table(spark, sf_dir, "documents"))
+
+
+@query("op7_best_fit_packing")
+def best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from tallywarden.llm.packing import packed, tokenized_pieces
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    return packed(tokenized_pieces(table(spark, sf_dir, "documents"), path))

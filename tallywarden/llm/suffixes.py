@@ -86,20 +86,17 @@ def growing(length: int, h0: int) -> list[int]:
     return out
 
 
-def runs(raw, length: int, hs: list[int], powers: Powers):
-    """Runs of one text for names of ``hs[-1]`` bytes, made by way of the lengths
-    before: smallest name, text hash, first window, number of windows."""
+def runs(raw, starts: np.ndarray, counts: np.ndarray, length: int, hs: list[int], powers: Powers):
+    """Runs of the windows ``starts[i]`` to ``starts[i] + counts[i]`` of some bytes,
+    for names of ``hs[-1]`` bytes made by way of the lengths before. Gives, per
+    run, smallest name, text hash, first window, number of windows.
+
+    The pieces asked for lie in order, ``length - 1`` bytes or more apart.
+    """
     a = np.frombuffer(raw, np.uint8)
     size = len(a)
     if size < length:
         return None
-    if size - length >= _PIECE:
-        cut = [
-            (s, runs(a[s : s + _PIECE + length - 1], length, hs, powers))
-            for s in range(0, size - length + 1, _PIECE)
-        ]
-        m, g, n = (np.concatenate([r[i] for _, r in cut]) for i in (0, 1, 3))
-        return m, g, np.concatenate([r[2] + s for s, r in cut]), n
     powers.upto(size + 1)
     h = hs[0]
     sums = np.zeros(size + 1, _U)
@@ -109,37 +106,63 @@ def runs(raw, length: int, hs: list[int], powers: Powers):
         step, h = longer - h, longer
         names = _mixed(names[:-step] * _U(0xD6E8FEB86659FD93) + names[step:])
     least = _least(names, length - h + 1)
+    edge = np.zeros(len(least) + 1, np.int8)
+    here = counts > 0
+    edge[starts[here]] += 1
+    edge[(starts + counts)[here]] -= 1
+    inside = np.cumsum(edge[:-1], dtype=np.int8).astype(bool)
     # A run ends where the smallest name changes, or the place that holds it.
-    moved = (least[1:] != least[:-1]) | (names[: len(least) - 1] == least[:-1])
-    first = np.flatnonzero(np.concatenate([[True], moved]))
-    end = np.concatenate([first[1:], [len(least)]])
+    same = (least[1:] == least[:-1]) & (names[: len(least) - 1] != least[:-1]) & inside[:-1]
+    first = np.flatnonzero(inside & ~np.concatenate([[False], same]))
+    goes_on = np.concatenate([same & inside[1:], [False]])
+    end = np.flatnonzero(inside & ~goes_on) + 1
     texts = _mixed((sums[end + length - 1] - sums[first]) * powers.down[first] + (end - first).astype(_U))
     return least[first].view(np.int64), texts.view(np.int64), first, end - first
 
 
-def _table(found: list, ids: list, segs: list):
+def _blocks(sizes: list[int], most: int = 1 << 16) -> Iterator[tuple[int, int]]:
+    """Neighbouring items, taken together up to ``most`` bytes: numpy calls are
+    made per block and their arrays stay in the cache."""
+    lo = total = 0
+    for i, n in enumerate(sizes):
+        if total and total + n > most:
+            yield lo, i
+            lo, total = i, 0
+        total += n
+    if lo < len(sizes):
+        yield lo, len(sizes)
+
+
+def _runs_of_pieces(pieces: list, length: int, hs: list[int], powers: Powers) -> Iterator:
+    """Arrow batches of the runs of pieces (doc_id, offset in the text, seg, bytes)."""
     import pyarrow as pa
 
-    m, g, s, n = (np.concatenate(x) for x in zip(*found))
-    k = [len(f[0]) for f in found]
-    columns = [m, g, np.repeat(np.array(ids, np.int64), k), s.astype(np.int32), n.astype(np.int32)]
-    columns.append(np.repeat(np.array(segs, np.int32), k))
-    return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=RUN.split()[::2])
+    for lo, hi in _blocks([len(p[3]) for p in pieces]):
+        part = pieces[lo:hi]
+        ids, offsets, segs = (np.array([p[k] for p in part], np.int64) for k in range(3))
+        sizes = np.array([len(p[3]) for p in part])
+        starts = np.cumsum(sizes) - sizes
+        found = runs(b"".join(p[3] for p in part), starts, np.maximum(0, sizes - length + 1), length, hs, powers)
+        if found is None:
+            continue
+        m, g, first, n = found
+        of = np.searchsorted(starts + sizes, first, "right")
+        at = first - starts[of] + offsets[of]
+        columns = [m, g, ids[of], at.astype(np.int32), n.astype(np.int32), segs[of].astype(np.int32)]
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=RUN.split()[::2])
 
 
 def _runs_of_texts(docs: DataFrame, length: int, hs: list[int]) -> DataFrame:
     def scan(batches: Iterator) -> Iterator:
         powers = Powers()
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1)
-            for lo in range(0, len(ids), 512):
-                found, keys = [], []
-                for i in range(lo, min(lo + 512, len(ids))):
-                    if texts[i].is_valid and (r := runs(texts[i].as_buffer(), length, hs, powers)):
-                        found.append(r)
-                        keys.append(ids[i])
-                if found:
-                    yield _table(found, keys, [0] * len(keys))
+            texts = batch.column(1)
+            pieces = []
+            for i, doc in enumerate(batch.column(0).to_pylist()):
+                raw = texts[i].as_buffer() if texts[i].is_valid else b""
+                for s in range(0, max(1, len(raw) - length + 1), _PIECE):
+                    pieces.append((doc, s, 0, memoryview(raw)[s : s + _PIECE + length - 1]))
+            yield from _runs_of_pieces(pieces, length, hs, powers)
 
     return docs.select("doc_id", F.col("text").cast("binary")).mapInArrow(scan, RUN)
 
@@ -150,13 +173,11 @@ def _runs_of_segments(segments: DataFrame, length: int, hs: list[int]) -> DataFr
     def scan(batches: Iterator) -> Iterator:
         powers = Powers()
         for batch in batches:
-            rows = batch.to_pydict()
-            found = []
-            for seg, raw, s, n in zip(rows["seg"], rows["raw"], rows["start"], rows["n"]):
-                m, g, at, k = runs(raw[s - seg : s - seg + n + length - 1], length, hs, powers)
-                found.append((m, g, at + s, k))
-            if found:
-                yield _table(found, rows["doc_id"], rows["seg"])
+            rows = [c.to_pylist() for c in batch.columns]
+            pieces = [
+                (doc, s, seg, raw[s - seg : s - seg + n + length - 1]) for doc, seg, raw, s, n in zip(*rows)
+            ]
+            yield from _runs_of_pieces(pieces, length, hs, powers)
 
     return segments.select("doc_id", "seg", "raw", "start", "n").mapInArrow(scan, RUN)
 
