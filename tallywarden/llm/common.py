@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import math
 import uuid
 
@@ -20,8 +21,20 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     df.write.parquet(path)
     # Spark deletes shuffle files when their plan is garbage; the plan of a step
     # that is written is, and a collection now keeps disk use to one step.
+    del df
+    gc.collect()
     spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out.scratch = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes tables made by ``stored`` that no later step reads."""
+    for df in tables:
+        jvm, path = df.sparkSession.sparkContext._jvm, getattr(df, "scratch")
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

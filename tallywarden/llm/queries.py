@@ -48,13 +48,13 @@ def exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE["op1_exact_top_k"] = """
 WITH v AS (
-  SELECT DISTINCT vec_id, list_transform(embedding, x -> CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  SELECT DISTINCT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
   FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
-    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 scored AS (
   SELECT q.vec_id AS query_id, c.vec_id,
-    CAST(list_sum(list_transform(list_zip(q.v, c.v), p -> coalesce(p[1] * p[2], 0))) AS BIGINT) AS score
+    CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: coalesce(p[1] * p[2], 0))) AS BIGINT) AS score
   FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id),
 ranked AS (
   SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
@@ -89,12 +89,12 @@ WITH d AS (SELECT doc_id, coalesce({_WORDS.format(t="text")}, []) AS ws FROM doc
 b AS (SELECT item_id, coalesce({_WORDS.format(t="text")}, []) AS ws FROM benchmark WHERE item_id IS NOT NULL),
 w AS (
   SELECT DISTINCT item_id, least(len(ws), 10) AS n,
-    unnest(list_transform(range(0, len(ws) - least(len(ws), 10) + 1), i -> array_to_string(ws[i + 1 : i + least(len(ws), 10)], ' '))) AS window
+    unnest(list_transform(range(0, len(ws) - least(len(ws), 10) + 1), lambda i: array_to_string(ws[i + 1 : i + least(len(ws), 10)], ' '))) AS window
   FROM b WHERE len(ws) > 0),
 ns AS (SELECT DISTINCT n FROM w),
 dw AS (
   SELECT doc_id, n, unnest(range(0, len(ws) - n + 1)) AS pos,
-    unnest(list_transform(range(0, len(ws) - n + 1), i -> array_to_string(ws[i + 1 : i + n], ' '))) AS window
+    unnest(list_transform(range(0, len(ws) - n + 1), lambda i: array_to_string(ws[i + 1 : i + n], ' '))) AS window
   FROM d, ns WHERE len(ws) >= n),
 hit AS (SELECT doc_id, item_id, pos, dw.n FROM dw JOIN w ON dw.n = w.n AND dw.window = w.window),
 items AS (
@@ -117,6 +117,27 @@ def ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_documents(table(spark, sf_dir, "documents"))
 
 
+ORACLE["op5_ngram_jaccard_join"] = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+'), []) AS ws FROM documents WHERE doc_id IS NOT NULL),
+s AS (
+  SELECT DISTINCT doc_id, unnest(list_transform(range(0, greatest(len(ws) - 5, 0) + 1),
+    lambda i: array_to_string(ws[i + 1 : i + 5], ' '))) AS shingle
+  FROM w WHERE len(ws) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+pair AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k
+  FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+link AS (
+  SELECT a, b FROM pair JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * k >= 80 * (x.n + y.n - k)),
+reach(doc_id, node) AS (
+  SELECT doc_id, doc_id FROM w UNION SELECT reach.doc_id, link.b FROM reach JOIN link ON reach.node = link.a)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, min(reach.node) AS component_id
+FROM w LEFT JOIN n USING (doc_id) JOIN reach USING (doc_id) GROUP BY w.doc_id, n.n
+"""
+
+
 @query("op7_best_fit_packing")
 def best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
@@ -125,3 +146,17 @@ def best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     path = public_tokenizers.path("word_bpe_49k.json")
     return packed(tokenized_pieces(table(spark, sf_dir, "documents"), path))
+
+
+@query("op8_language_id")
+def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallywarden.llm.language import language
+
+    return language(table(spark, sf_dir, "documents"))
+
+
+@query("op10_lm_scoring")
+def lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallywarden.llm.lm_scores import scores
+
+    return scores(table(spark, sf_dir, "documents"))

@@ -31,7 +31,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallywarden.llm.common import stored
+from tallywarden.llm.common import discard, stored
 
 _BASE = 0x9E3779B97F4A7C15
 _U = np.uint64
@@ -82,7 +82,7 @@ def growing(length: int, h0: int) -> list[int]:
     out = [min(h0, length)]
     while out[-1] < length:
         h = out[-1]
-        out.append(length if length - h <= length // 8 else min(2 * h, h + (length - h + 1) // 2))
+        out.append(length if length - h <= length // 16 else min(2 * h, h + (length - h + 1) // 2))
     return out
 
 
@@ -216,6 +216,7 @@ def repeated_bytes(docs: DataFrame, length: int = 100, first: int = 25) -> DataF
         )
         out.append(stored(copies.select("doc_id", "start", (F.col("start") + F.col("n") + (length - 1)).alias("end")), "copies"))
         if k + 1 == len(hs):
+            discard(rows, firsts)
             break
         shared = firsts.groupBy("m").agg(F.count("*").alias("k")).filter("k > 1").select("m")
         left = firsts.join(shared, "m", "left_semi").select("at.*")
@@ -224,7 +225,11 @@ def repeated_bytes(docs: DataFrame, length: int = 100, first: int = 25) -> DataF
             segments = raw.withColumn("start", F.col("seg"))
         else:
             segments = left.join(raw.drop("n"), ["doc_id", "seg"])
+        done = (rows, firsts)
         rows = stored(_runs_of_segments(segments, length, hs[: k + 2]), "names")
+        discard(*done)
+    if raw is not None:
+        discard(raw)
     whole = out[0]
     for more in out[1:]:
         whole = whole.unionByName(more)
