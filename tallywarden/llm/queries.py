@@ -160,3 +160,22 @@ def lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallywarden.llm.lm_scores import scores
 
     return scores(table(spark, sf_dir, "documents"))
+
+
+@query("op6_chat_formatting")
+def chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallywarden.llm.quotes import reply_order
+
+    return reply_order(table(spark, sf_dir, "conversations")).select(
+        "conv_id", "turn", "role", "n_quotes", "parent_turn", "thread_turn", "depth", "position",
+        F.sha2("text", 256).alias("text_sha256"),
+    )
+
+
+@query("op9_license_scan")
+def license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallywarden.llm.licenses import licenses
+
+    return licenses(table(spark, sf_dir, "documents")).select(
+        "doc_id", "license", F.array_join("notices", ",").alias("notices"), "n_notices"
+    )
