@@ -207,7 +207,7 @@ def event_findings(spark, sf):
 
 
 NORMAL_EVENTS = f"""{EVENT_STATUS}, norm AS (SELECT coalesce(id, 'VIO-' || (event_id + 1)) AS id,
-    coalesce(tid, id, 'TXN-' || CASE WHEN event_id + 1 > 9999 THEN substr(CAST(event_id + 1 AS VARCHAR), 1, 4) ELSE lpad(CAST(event_id + 1 AS VARCHAR), 4, '0') END) AS "transactionId",
+    coalesce(tid, id, printf('TXN-%04d', event_id + 1)) AS "transactionId",
     CASE WHEN event_id % 5 <> 0 THEN value END AS amount, 'Compliance Rule' AS rule,
     CASE WHEN upper(severity) IN ('CRITICAL', 'HIGH', 'MEDIUM', 'LOW') THEN upper(severity) ELSE 'MEDIUM' END AS severity,
     CASE WHEN upper(coalesce(verdict, 'VIOLATION')) IN ('COMPLIANT', 'NEEDS_REVIEW') THEN upper(verdict) ELSE 'VIOLATION' END AS status

@@ -107,13 +107,16 @@ def hashed(spark, sf):
 @query(
     "j4_memo_hits",
     """WITH h AS (SELECT doc_id, substr(sha256(text), 1, 16) AS hash FROM documents),
-         memo AS (SELECT hash, min(h.doc_id) AS stored_doc FROM h JOIN labels USING (doc_id) GROUP BY 1)
-       SELECT doc_id, stored_doc FROM h JOIN memo USING (hash)""",
+         memo AS (SELECT hash, arg_min(quality, h.doc_id) AS stored_quality, min(h.doc_id) AS stored_doc FROM h JOIN labels USING (doc_id) GROUP BY 1)
+       SELECT doc_id, stored_doc, stored_quality FROM h JOIN memo USING (hash)""",
 )
 def _(spark, sf):
     h = hashed(spark, sf)
-    memo = h.join(table(spark, sf, "labels"), "doc_id").select("hash", F.col("doc_id").alias("stored_doc"))
-    return rg.memo_lookup(h, memo, "hash", ["stored_doc"]).select("doc_id", "stored_doc")
+    memo = h.join(table(spark, sf, "labels"), "doc_id").select(
+        "hash", F.col("doc_id").alias("stored_doc"), F.col("quality").alias("stored_quality")
+    )
+    names = ["stored_doc", "stored_quality"]
+    return rg.memo_lookup(h, memo, "hash", names).select("doc_id", *names)
 
 
 @query(
@@ -163,16 +166,18 @@ def _(spark, sf):
     # An earlier version of each changed row is in the same batch and loses.
     stale = changed.withColumn("o_orderstatus", F.lit("stale"))
     new = changed.unionAll(fresh).withColumn("at", F.lit(2)).unionAll(stale.withColumn("at", F.lit(1)))
-    return rg.upsert(o.drop("o_custkey"), rg.latest_per_key(new, "o_orderkey", F.col("at")).drop("at"), "o_orderkey")
+    without = changed.withColumn("o_orderkey", F.lit(None).cast("long")).withColumn("at", F.lit(3))
+    return rg.upsert(o.drop("o_custkey"), new.unionAll(without), "o_orderkey", F.col("at")).drop("at")
 
 
 @query(
     "j11_order_gate",
     f"""WITH {RULES} SELECT rule_id, EXISTS (SELECT 1 FROM rules WHERE source_document_type = 'master_direction') AS admitted,
-          source_document_type = 'master_direction' AS admitted_first FROM rules""",
+          coalesce(CASE WHEN idx % 6 > 0 THEN source_document_type END = 'master_direction', false) AS admitted_first FROM rules""",
 )
 def _(spark, sf):
-    r = rules(spark, sf).select("rule_id", "source_document_type")
+    kind = F.when(F.col("idx") % 6 > 0, F.col("source_document_type")).alias("source_document_type")
+    r = rules(spark, sf).select("rule_id", kind)
     without_base = r.filter("source_document_type <> 'master_direction'")
     first = rg.order_gate(r, without_base).select("rule_id", F.col("admitted").alias("admitted_first"))
     return rg.order_gate(r, r).select("rule_id", "admitted").join(first, "rule_id")
@@ -240,12 +245,24 @@ def _(spark, sf):
 
 @query(
     "j12_history_rows",
-    f"""WITH {JUDGED} SELECT r.rule_id, new_id AS replaced_by, r.title AS old_title FROM judged JOIN rules r ON r.rule_id = matched_rule_id
-        WHERE judged.status = 'MODIFIED'""",
+    f"""WITH {JUDGED}, t AS (SELECT *, row_number() OVER w AS n,
+          last_value(CASE WHEN status IN ('MODIFIED', 'SUPERSEDED') THEN status END IGNORE NULLS) OVER b AS was_status,
+          last_value(CASE WHEN status = 'MODIFIED' THEN source_document_name END IGNORE NULLS) OVER b AS was_by,
+          last_value(CASE WHEN status = 'MODIFIED' THEN modification_summary END IGNORE NULLS) OVER b AS was_summary
+        FROM judged WHERE matched_rule_id IS NOT NULL AND status IN ('EXISTING', 'MODIFIED', 'SUPERSEDED', 'CLARIFICATION')
+        WINDOW w AS (PARTITION BY matched_rule_id ORDER BY source_document_date, new_id),
+          b AS (PARTITION BY matched_rule_id ORDER BY source_document_date, new_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+        SELECT r.rule_id, new_id AS replaced_by, r.title AS old_title, coalesce(was_status, r.status) AS old_status,
+          coalesce(was_by, r.last_modified_by) AS old_by, coalesce(was_summary, r.modification_summary) AS old_summary,
+          CAST(r.reference_count + t.n - 1 AS INTEGER) AS old_references
+        FROM t JOIN rules r ON r.rule_id = matched_rule_id WHERE t.status = 'MODIFIED'""",
 )
 def _(spark, sf):
     got = rg.history_additions(rules(spark, sf), judgements(spark, sf), "new_id")
-    return got.select("rule_id", "replaced_by", F.get_json_object("old_rule", "$.title").alias("old_title"))
+    names = {"title": "title", "status": "status", "by": "last_modified_by", "summary": "modification_summary"}
+    old = [F.get_json_object("old_rule", f"$.{c}").alias(f"old_{n}") for n, c in names.items()]
+    count = F.get_json_object("old_rule", "$.reference_count").cast("int").alias("old_references")
+    return got.select("rule_id", "replaced_by", *old, count)
 
 
 @query(
@@ -307,4 +324,4 @@ def _(spark, sf):
     r = rules(spark, sf).withColumnRenamed("source_document_name", "filename")
     before = rg.document_status_counts(r.filter("lang = 'en'"), "filename")
     after = rg.document_status_counts(r, "filename")
-    return rg.upsert(before, after, "filename").select("filename", "total_rules")
+    return rg.upsert(before, after, "filename", F.col("total_rules")).select("filename", "total_rules")

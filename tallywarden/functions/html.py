@@ -48,11 +48,19 @@ def raw_links(c: Column) -> Column:
     return F.regexp_extract_all(c, F.lit(r"""(?i)href=["']([^"']+)["']"""), F.lit(1))
 
 
+def _joined(root: str | None, link: str | None) -> str | None:
+    """The absolute form of a link, or null for one that is no address."""
+    try:
+        return None if link is None else urljoin(root or "", link)
+    except ValueError:
+        return None
+
+
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def _resolve(base: pd.Series, links: pd.Series) -> pd.Series:
     return pd.Series(
         [
-            None if group is None else [urljoin(root or "", x) for x in group]
+            None if group is None else [_joined(root, x) for x in group]
             for root, group in zip(base, links)
         ]
     )
@@ -60,7 +68,7 @@ def _resolve(base: pd.Series, links: pd.Series) -> pd.Series:
 
 def page_links(c: Column, base: Column, containing: str | None = ".pdf") -> Column:
     """Absolute links of a page in first-seen order, each once."""
-    found = F.array_distinct(_resolve(base, F.transform(raw_links(c), strip)))
+    found = F.array_distinct(F.array_compact(_resolve(base, F.transform(raw_links(c), strip))))
     if containing:
         found = F.filter(found, lambda x: F.contains(F.lower(x), F.lit(containing.lower())))
     return found

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -104,13 +106,23 @@ def first_line(c: Column) -> Column:
 
 
 def fill_template(template: Column, values: dict[str, Column]) -> Column:
-    """Replace each ``{name}`` in the template with the value, null as ''."""
-    out = template
-    for name, value in values.items():
-        out = F.replace(
-            out, F.lit("{" + name + "}"), F.coalesce(value.cast("string"), F.lit(""))
-        )
-    return out
+    """Replace each ``{name}`` in the template with the value, null as ''.
+
+    The template is cut at its placeholders once; what a value holds is not
+    looked at again. Names without a value stay as they are.
+    """
+    if not values:
+        return template
+    names = "|".join(re.escape(n) for n in values)
+    parts = F.regexp_extract_all(template, F.lit(rf"(?s)\{{(?:{names})\}}|(?:(?!\{{(?:{names})\}}).)+"), F.lit(0))
+
+    def filled(part: Column) -> Column:
+        out = part
+        for name, value in values.items():
+            out = F.when(part == "{" + name + "}", F.coalesce(value.cast("string"), F.lit(""))).otherwise(out)
+        return out
+
+    return F.array_join(F.transform(parts, filled), "")
 
 
 def pieces(c: Column, step: int = 450) -> Column:

@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallywarden.operators.ordering import running
+
 from tallywarden.operators.rules import STATUSES
 
 JUDGEMENT_SCHEMA = (
@@ -23,14 +25,18 @@ def where_equal(df: DataFrame, **wanted) -> DataFrame:
 
 
 def clause_search(
-    df: DataFrame, clause: str, phrase: str, order: list, limit: int | None = 5,
-    literal: bool = True,
+    df: DataFrame, clause: str, phrase: str, order: list, limit: int | None = None,
+    literal: bool = True, first: int | None = None,
 ) -> DataFrame:
-    """Rules whose clause contains the phrase. ``literal=False`` lets ``_`` in the
+    """Rules whose clause contains the phrase, or only the ``first`` characters of
+    it where a view asks for that. ``literal=False`` lets ``_`` in the
     phrase stand for any character, as a pattern search does."""
-    phrase = re.sub("%", "", phrase.strip()[:120])[:60]
+    phrase = re.sub("%", "", phrase.strip())
+    if first is not None:
+        phrase = phrase[:first]
     c = F.col(clause)
-    hit = F.contains(F.lower(c), F.lit(phrase.lower())) if literal else c.ilike(f"%{phrase}%")
+    pattern = phrase.replace("\\", "\\\\")
+    hit = F.contains(F.lower(c), F.lit(phrase.lower())) if literal else c.ilike(f"%{pattern}%")
     found = df.filter(hit)
     return found.orderBy(*order).limit(limit) if limit else found
 
@@ -49,8 +55,9 @@ def split_known(
 
 
 def memo_lookup(new: DataFrame, memo: DataFrame, key: str, stored: list[str]) -> DataFrame:
-    """Stored columns for content seen before; one memo row per key is used."""
-    one = memo.groupBy(key).agg(*[F.min(c).alias(c) for c in stored])
+    """Stored columns for content seen before; the smallest
+    memo row of a key is used, as a whole."""
+    one = memo.groupBy(key).agg(F.min(F.struct(*stored)).alias("__one")).select(key, "__one.*")
     return new.join(one, key, "inner")
 
 
@@ -61,7 +68,7 @@ def order_gate(documents: DataFrame, registry: DataFrame, kind: str = "source_do
         F.coalesce(F.bool_or(F.col(kind) == "master_direction"), F.lit(False)).alias("b")
     )
     return documents.withColumn(
-        "admitted", (F.col(kind) == "master_direction") | has_base.scalar()
+        "admitted", F.col(kind).eqNullSafe("master_direction") | has_base.scalar()
     )
 
 
@@ -76,14 +83,19 @@ def latest_per_key(df: DataFrame, key: str, order: Column) -> DataFrame:
     )
 
 
-def upsert(existing: DataFrame, new: DataFrame, key: str, order: Column | None = None) -> DataFrame:
+def keyless(new: DataFrame, key: str) -> DataFrame:
+    """The rows that an upsert cannot take: null or empty key."""
+    return new.filter(F.coalesce(F.col(key).cast("string"), F.lit("")) == "")
+
+
+def upsert(existing: DataFrame, new: DataFrame, key: str, order: Column) -> DataFrame:
     """Existing rows with the new ones laid over them.
 
     Only columns the new rows bring are changed; columns only they have are
-    added. With ``order`` the last of several new rows for one key counts.
+    added. The last of several new rows for one key, by ``order``, counts. New
+    rows without a key are not taken; ``keyless`` gives them.
     """
-    if order is not None:
-        new = latest_per_key(new, key, order)
+    new = latest_per_key(new, key, order)
     marked = new.withColumnsRenamed({c: f"__n_{c}" for c in new.columns})
     joined = existing.join(marked, existing[key] == marked[f"__n_{key}"], "full_outer")
     is_new = F.col(f"__n_{key}").isNotNull()
@@ -225,14 +237,33 @@ def apply_judgements(registry: DataFrame, judgements: DataFrame, new_id: str) ->
 
 
 def history_additions(registry: DataFrame, judgements: DataFrame, new_id: str) -> DataFrame:
-    """The old row, as JSON, for each judgement that modifies it."""
-    modified = judgements.filter(
-        (F.col("status") == "MODIFIED") & F.col("matched_rule_id").isNotNull()
-    ).select(
-        F.col("matched_rule_id").alias("rule_id"), F.col(new_id).alias("replaced_by")
-    )
-    old = registry.select("rule_id", F.to_json(F.struct(*registry.columns)).alias("old_rule"))
-    return modified.join(old, "rule_id")
+    """The old row, as JSON, for each judgement that modifies it, as the judgements
+    before it, by (source date, new rule id), left it."""
+    order, month = ["source_document_date", new_id], F.substring("source_document_date", 1, 7)
+    when = [F.col("source_document_date").alias("d"), F.col(new_id).alias("i")]
+    modified = F.col("status") == "MODIFIED"
+    touching = _touching(judgements).select("matched_rule_id", *order, "status", "source_document_name", "modification_summary")
+    before = {
+        "__status": (F.when(F.col("status").isin("MODIFIED", "SUPERSEDED"), F.struct(*when, F.col("status").alias("v"))), "max"),
+        "__by": (F.when(modified, F.struct(*when, F.col("source_document_name").alias("v"))), "max"),
+        "__summary": (F.when(modified, F.struct(*when, F.col("modification_summary").alias("v"))), "max"),
+        "__references": (F.lit(1).cast("long"), "sum"),
+    }
+    for name, (value, how) in before.items():
+        touching = running(touching, ["matched_rule_id"], order, month, value, name, how, inclusive=False)
+    names = {"status": "__status", "last_modified_by": "__by", "modification_summary": "__summary"}
+    joined = touching.filter(modified).select(
+        F.col("matched_rule_id").alias("rule_id"), F.col(new_id).alias("replaced_by"), *before
+    ).join(registry, "rule_id")
+    old = []
+    for c in registry.columns:
+        if c in names:
+            old.append(F.when(F.col(names[c]).isNotNull(), F.col(f"{names[c]}.v")).otherwise(F.col(c)).alias(c))
+        elif c == "reference_count":
+            old.append((F.coalesce(c, F.lit(1)) + F.coalesce("__references", F.lit(0))).cast(registry.schema[c].dataType).alias(c))
+        else:
+            old.append(F.col(c))
+    return joined.select("rule_id", "replaced_by", F.to_json(F.struct(*old)).alias("old_rule"))
 
 
 def positional_statuses(rules: DataFrame, answers: DataFrame, batch: str, place: str, answer: str) -> DataFrame:

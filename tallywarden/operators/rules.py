@@ -207,7 +207,12 @@ def stamp_provenance(
 def insertable_rules(df: DataFrame) -> DataFrame:
     """Rules the registry takes, each with an id that its content decides."""
     made = F.substring(
-        F.sha2(F.concat_ws("\x1f", "title", "description", "source_clause"), 256), 1, 32
+        F.sha2(
+            F.concat_ws("\x1f", *[F.coalesce(c, F.lit("\x00")) for c in ("title", "description", "source_clause")]),
+            256,
+        ),
+        1,
+        32,
     )
     ids = [
         F.when(column_or(df, c, "string") != "", column_or(df, c, "string"))

@@ -29,11 +29,11 @@ def normal_verdict(verdict: Column) -> Column:
 def normal_violations(df: DataFrame, place: str) -> DataFrame:
     """Violation rows as a list view takes them; ``place`` is the 0-based row."""
     full = lambda c: F.when(F.col(c).cast("string") != "", F.col(c).cast("string"))
-    number = (F.col(place) + 1).cast("string")
+    number = F.col(place) + 1
     return df.select(
-        F.coalesce(full("id"), F.concat(F.lit("VIO-"), number)).alias("id"),
+        F.coalesce(full("id"), F.concat(F.lit("VIO-"), number.cast("string"))).alias("id"),
         F.coalesce(
-            full("transactionId"), full("id"), F.concat(F.lit("TXN-"), F.lpad(number, 4, "0"))
+            full("transactionId"), full("id"), F.format_string("TXN-%04d", number)
         ).alias("transactionId"),
         F.col("amount").try_cast("double").alias("amount"),
         F.coalesce(F.col("rule"), F.lit("Compliance Rule")).alias("rule"),

@@ -150,10 +150,10 @@ def test_nearest_equals_brute_force(spark):
 def test_upsert(spark):
     old = spark.sql("select * from values ('a', 'x', 1), ('b', 'y', 2) t(rule_id, title, n)")
     new = spark.sql("select * from values ('b', 'new', 1), ('b', 'newer', 2), ('c', null, 3), (null, 'z', 4) t(rule_id, title, at)")
-    once = registry.upsert(old, registry.latest_per_key(new, "rule_id", F.col("at")).drop("at"), "rule_id")
+    once = registry.upsert(old, new, "rule_id", F.col("at")).drop("at")
     got = sorted(map(tuple, once.collect()))
     assert got == [("a", "x", 1), ("b", "newer", 2), ("c", None, None)]
-    twice = registry.upsert(once, registry.latest_per_key(new, "rule_id", F.col("at")).drop("at"), "rule_id")
+    twice = registry.upsert(once, new, "rule_id", F.col("at")).drop("at")
     assert sorted(map(tuple, twice.collect())) == got
 
 
