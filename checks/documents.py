@@ -199,11 +199,11 @@ def _(spark, sf):
     return docs(spark, sf).select("doc_id", ck.skip_reason(F.col("text"), min_letters=0.6).alias("reason"))
 
 
-KEPT = f"""{CHUNKS}, kept AS (SELECT source, doc_id, text, paragraph_number, chunk_index,
-    row_number() OVER (PARTITION BY source ORDER BY chunk_index) - 1 AS k FROM (
+KEPT = f"""{CHUNKS}, kept AS (SELECT source, doc_id, text, paragraph_number, chunk_index FROM (
       SELECT *, {SKIPS.replace('{ratio}', '0.4')} AS reason FROM chunks) WHERE reason IS NULL),
-  sized AS (SELECT *, least(length(text) // 4, 3100) AS tok,
-    CASE WHEN length(text) // 4 > 3100 THEN substr(text, 1, 12400) ELSE text END AS body FROM kept),
+  parts AS (SELECT *, unnest(range(0, (greatest(length(text), 1) - 1) // 12400 + 1)) AS part FROM kept),
+  sized AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY chunk_index, part) - 1 AS k,
+    length(substr(text, part * 12400 + 1, 12400)) // 4 AS tok, substr(text, part * 12400 + 1, 12400) AS body FROM parts),
   bfold AS (SELECT source, k, tok AS fill, 0 AS batch_no FROM sized WHERE k = 0
     UNION ALL SELECT s.source, s.k, CASE WHEN f.fill + s.tok > 3100 THEN s.tok ELSE f.fill + s.tok END,
       CASE WHEN f.fill + s.tok > 3100 THEN f.batch_no + 1 ELSE f.batch_no END
@@ -211,14 +211,27 @@ KEPT = f"""{CHUNKS}, kept AS (SELECT source, doc_id, text, paragraph_number, chu
   batched AS (SELECT s.*, batch_no FROM sized s JOIN bfold b ON b.source = s.source AND b.k = s.k)"""
 
 
-def batched(spark, sf, block_size=65536):
+def batched(spark, sf, block_size=65536, provider="together"):
     # The chunk table is a stored table between chunking and batching.
-    stored = cut_lineage(ck.policy_chunks(chunks(spark, sf)))
+    stored = cut_lineage(ck.fitting_chunks(ck.policy_chunks(chunks(spark, sf)), "text", provider))
     kept = row_numbers(
-        stored, ["source"], ["chunk_index"],
+        stored, ["source"], ["chunk_index", "part"],
         F.floor(F.col("chunk_index") / 4096), "n",
     ).withColumn("kept_index", F.col("n") - 1)
-    return ck.batch_chunks(kept.drop("n"), "source", "kept_index", block_size=block_size)
+    return ck.batch_chunks(kept.drop("n"), "source", "kept_index", provider=provider, block_size=block_size)
+
+
+@query(
+    "w6_no_text_lost",
+    f"""WITH RECURSIVE {KEPT} SELECT doc_id, chunk_index, length(text) AS chars, md5(text) AS text_md5 FROM kept""",
+)
+def _(spark, sf):
+    """The parts of the provider with the smallest calls, put together again."""
+    parts = batched(spark, sf, provider="groq").groupBy("doc_id", "chunk_index").agg(
+        F.array_sort(F.collect_list(F.struct("kept_index", "text"))).alias("p")
+    )
+    whole = F.array_join(F.transform("p", lambda x: x["text"]), "")
+    return parts.select("doc_id", "chunk_index", F.length(whole).cast("long").alias("chars"), F.md5(whole).alias("text_md5"))
 
 
 @query("w6_token_batches", f"WITH RECURSIVE {KEPT} SELECT source, k AS kept_index, tok AS tokens, batch_no FROM batched")

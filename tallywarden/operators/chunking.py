@@ -153,20 +153,27 @@ def policy_chunks(df: DataFrame, text: str = "text", **kw) -> DataFrame:
     return df.filter(skip_reason(F.col(text), **kw).isNull())
 
 
+def fitting_chunks(df: DataFrame, text: str = "text", provider: str = "together") -> DataFrame:
+    """Chunks that each fit one call of the provider: a longer one becomes several
+    rows, ``part`` 0, 1, ... in order. No character is lost."""
+    most = batch_capacity(provider) * 4
+    last = F.floor((F.greatest(F.coalesce(F.length(text), F.lit(0)), F.lit(1)) - 1) / most).cast("int")
+    parts = df.withColumn("part", F.explode(F.sequence(F.lit(0), last)))
+    piece = F.substring(F.col(text), F.col("part") * most + 1, F.lit(most))
+    return parts.withColumn(text, F.when(F.length(text) > most, piece).otherwise(F.col(text)))
+
+
 def batch_chunks(
     df: DataFrame, doc: str, order: str, text: str = "text", provider: str = "together",
     block_size: int = 65536,
 ) -> DataFrame:
     """Token batches per document. ``order`` numbers the kept chunks 0, 1, ...
 
-    An over-long chunk is cut to what one call takes (a provider limit).
+    A chunk that no call takes has a batch of its own; ``fitting_chunks`` makes
+    such chunks fit beforehand.
     """
     capacity = batch_capacity(provider)
-    tokens = F.least(token_estimate(F.col(text)), F.lit(capacity)).cast("long")
-    cut = F.when(
-        token_estimate(F.col(text)) > capacity, F.substring(text, 1, capacity * 4)
-    ).otherwise(F.col(text))
-    sized = df.withColumn("tokens", tokens).withColumn(text, cut)
+    sized = df.withColumn("tokens", token_estimate(F.col(text)).cast("long"))
     return greedy_bins(sized, doc, order, "tokens", capacity, "batch_no", block_size)
 
 

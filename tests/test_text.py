@@ -125,6 +125,9 @@ def test_batches_respect_capacity(spark):
     rng = random.Random(3)
     rows = [("d", i, "word " * rng.randint(50, 3000)) for i in range(40)]
     df = spark.createDataFrame(rows, "doc string, i long, text string")
+    parts = ck.fitting_chunks(df).orderBy("i", "part").drop("i").collect()
+    assert "".join(r.text for r in parts) == "".join(t for _, _, t in rows)
+    df = spark.createDataFrame([(r.doc, i, r.text) for i, r in enumerate(parts)], "doc string, i long, text string")
     got = ck.batch_chunks(df, "doc", "i", provider="together").groupBy("batch_no").agg(F.sum("tokens").alias("t"))
     assert max(r.t for r in got.collect()) <= ck.batch_capacity("together") == 3100
     assert ck.batch_capacity("groq") == 100 and ck.batch_capacity("other") == 1100
