@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import gc
-import math
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -87,5 +87,14 @@ def summed_arrays(df: DataFrame, fan_in: int = 32) -> "list":
     return np.frombuffer(rows[0][0], np.float64) if rows else None
 
 
-def log2_at_least(n: int) -> int:
-    return max(1, math.ceil(math.log2(max(2, n))))
+def blocks(sizes: list[int], most: int = 1 << 16) -> Iterator[tuple[int, int]]:
+    """Neighbouring items, taken together up to ``most`` bytes: numpy calls are
+    made per block and their arrays stay in the cache."""
+    lo = total = 0
+    for i, n in enumerate(sizes):
+        if total and total + n > most:
+            yield lo, i
+            lo, total = i, 0
+        total += n
+    if lo < len(sizes):
+        yield lo, len(sizes)

@@ -26,132 +26,151 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallywarden.llm.common import stored, summed_arrays
+from tallywarden.llm.common import blocks, discard, stored, summed_arrays
 from tallywarden.llm.components import components
+from tallywarden.llm.suffixes import Powers, mixed
 
 _U = np.uint64
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _SKETCH = 1 << 18
 _VERIFY_COST = 64.0  # reading a posting costs 1
-_MOST = 8  # longest l tried
-
-
-class WordHashes(dict):
-    """64-bit hash of a word, remembered for as many words as fit."""
-
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        if len(self) > 500_000:
-            self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word)
-        return h
-
-
-def shingles(raw: bytes | None, width: int, hashes: WordHashes) -> np.ndarray:
-    """Sorted distinct shingle hashes of one text (A-Z lowered, ASCII spaces)."""
-    words = (raw or b"").translate(LOWER).split()
-    if not words:
-        return np.zeros(0, _U)
-    w = np.fromiter(map(hashes.__getitem__, words), _U, len(words))
-    width = min(width, len(w))
-    x = np.full(len(w) - width + 1, width, _U)
+_FEWER = 0.7  # share of the documents with l shingles in common that have l + 1
+_MOST = 31  # longest l tried
+_PACK = 32  # above it
+
+
+_SPACE = np.zeros(256, bool)
+_SPACE[[32, *range(9, 14)]] = True
+
+
+def _sets_of_block(raws: list[bytes], width: int, powers: Powers) -> list[np.ndarray]:
+    joined = b" ".join(raws).translate(LOWER)
+    a = np.frombuffer(joined, np.uint8)
+    powers.upto(len(a) + 1)
+    sums = np.zeros(len(a) + 1, _U)
+    np.cumsum((a.astype(_U) + _U(1)) * powers.up[: len(a)], out=sums[1:])
+    word = ~_SPACE[a]
+    edge = np.diff(np.concatenate([[False], word, [False]]).astype(np.int8))
+    start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    w = mixed((sums[end] - sums[start]) * powers.down[start] + (end - start).astype(_U))
+    x = np.full(max(0, len(w) - width + 1), width, _U)
     for j in range(width):
         x *= _U(0x9E3779B97F4A7C15)
         x += w[j : j + len(x)]
         x ^= x >> _U(29)
-    x *= _U(0xBF58476D1CE4E5B9)
-    x ^= x >> _U(32)
-    return np.unique(x)
+    x = mixed(x)
+    limits = np.searchsorted(start, np.cumsum([0, *(len(r) + 1 for r in raws)]))
+    out = []
+    for lo, hi in zip(limits.tolist(), limits[1:].tolist()):
+        if hi - lo >= width:
+            own = np.sort(x[lo : hi - width + 1])
+            out.append(own[np.concatenate([[True], own[1:] != own[:-1]])])
+        elif hi > lo:
+            h = hi - lo  # all words as one, told apart by their number
+            for v in w[lo:hi].tolist():
+                h = (h * 0x9E3779B97F4A7C15 + v) % 2**64
+                h ^= h >> 29
+            out.append(mixed(np.array([h], _U)))
+        else:
+            out.append(np.zeros(0, _U))
+    return out
+
+
+def shingle_sets(texts, width: int, powers: Powers) -> Iterator[np.ndarray]:
+    """Sorted distinct shingle hashes of each text (A-Z lowered, ASCII spaces)."""
+    raws = [x.as_py() or b"" for x in texts]
+    for lo, hi in blocks([len(r) for r in raws]):
+        yield from _sets_of_block(raws[lo:hi], width, powers)
 
 
 def prefix_length(n: int, percent: int) -> int:
     return n + (-percent * n) // 100 + 1
 
 
-def adaptive_prefix(x: np.ndarray, level: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
+def adaptive_prefix(x: np.ndarray, level: np.ndarray, percent: int, floor: float) -> tuple[np.ndarray, int]:
     """The chosen prefix of a set and its ``l``. ``level`` holds, per counter, the
-    logarithm of how often its shingles occur beyond chance."""
+    logarithm of how often its shingles occur beyond chance; up to ``floor``
+    occurrences stay hidden in it."""
     n = len(x)
     own = level[(x >> _U(46)).astype(np.int64)]
     first = prefix_length(n, percent)
     most = min(_MOST, n - first + 1)
     order = np.argsort(own, kind="stable")  # x is sorted: (level, hash)
-    often = np.exp2(own[order[: first + most - 1]].astype(np.float64)) - 1
-    best, chosen = None, 1
-    for l in range(1, most + 1):
-        seen = often[: first + l - 1]
-        # With l matches asked for, about as many documents pass as the l-th
-        # longest list holds.
-        cost = seen.sum() + _VERIFY_COST * (np.partition(seen, -l)[-l] if l <= len(seen) else 0.0)
-        if best is None or cost < best:
-            best, chosen = cost, l
-        if cost == 0:
-            break
+    often = np.exp2(own[order[: first + most - 1]].astype(np.float64)) + floor
+    # With l matches asked for, at most as many documents pass as the l-th longest
+    # list holds, and of those that share one shingle fewer share more.
+    reads = often[:first].sum() + np.concatenate([[0], np.cumsum(often[first:])])
+    passes = np.sort(often)[::-1][:most] * _FEWER ** np.arange(most)
+    chosen = int(np.argmin(reads + _VERIFY_COST * passes)) + 1
     return x[order[: first + chosen - 1]], chosen
 
 
 def _signatures(docs: DataFrame, width: int) -> DataFrame:
     """Per document the size and a 128-bit signature of its set; per task, in a
     row of its own, the counters of its shingles."""
+    names = ["doc_id", "n", "s1", "s2", "counts"]
 
-    def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes, counts = WordHashes(), np.zeros(_SKETCH)
-        for frame in frames:
-            rows = []
-            for i, raw in zip(frame.doc_id, frame.text):
-                x = shingles(raw, width, hashes)
+    def scan(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        powers, counts = Powers(), np.zeros(_SKETCH)
+        for batch in batches:
+            ns, s1, s2 = [], [], []
+            for x in shingle_sets(batch.column(1), width, powers):
                 np.add.at(counts, (x >> _U(46)).astype(np.int64), 1.0)
-                y = x * _U(0xD6E8FEB86659FD93)
-                y ^= y >> _U(32)
-                s = np.array([x.sum(dtype=_U), (y * y).sum(dtype=_U)], _U).view(np.int64)
-                rows.append((i, len(x), s[0], s[1], None))
-            yield pd.DataFrame(rows, columns=["doc_id", "n", "s1", "s2", "counts"])
-        yield pd.DataFrame([(None, 0, 0, 0, counts.tobytes())], columns=["doc_id", "n", "s1", "s2", "counts"])
+                ns.append(len(x))
+                s1.append(int(x.sum(dtype=_U)))
+                s2.append(int((x * (x >> _U(7))).sum(dtype=_U)))
+            signs = [pa.array(np.array(c, _U).view(np.int64)) for c in (s1, s2)]
+            none = pa.nulls(batch.num_rows, pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ns, pa.int64()), *signs, none], names=names)
+        last = [pa.array([None], pa.int64()), *(pa.array([0], pa.int64()) for _ in range(3))]
+        yield pa.RecordBatch.from_arrays([*last, pa.array([counts.tobytes()], pa.binary())], names=names)
 
-    return docs.mapInPandas(scan, "doc_id long, n long, s1 long, s2 long, counts binary")
+    return docs.mapInArrow(scan, "doc_id long, n long, s1 long, s2 long, counts binary")
 
 
-def _prefixes(docs: DataFrame, width: int, percent: int, level: np.ndarray) -> DataFrame:
+def _prefixes(docs: DataFrame, width: int, percent: int, level: np.ndarray, floor: float) -> DataFrame:
+    """``doc``, ``size`` (its set's size and ``l`` in one number) and ``tokens``."""
+
     def scan(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        hashes = WordHashes()
+        powers = Powers()
         for batch in batches:
-            ids, ns, ls, tokens = [], [], [], []
-            for i, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
-                x = shingles(raw.as_py(), width, hashes)
+            ids, sizes, tokens = [], [], []
+            for i, x in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1), width, powers)):
                 if len(x):
-                    p, l = adaptive_prefix(x, level, percent)
+                    p, l = adaptive_prefix(x, level, percent, floor)
                     ids.append(i)
-                    ns.append(len(x))
-                    ls.append(l)
+                    sizes.append(len(x) * _PACK + l)
                     tokens.append(p.view(np.int64))
             ends = np.cumsum([0, *map(len, tokens)]).astype(np.int32)
             flat = np.concatenate(tokens) if tokens else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(ns, pa.int64()), pa.array(ls, pa.int64()),
-                 pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))],
-                names=["doc", "n", "l", "tokens"],
-            )
+                [pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))],
+                names=["doc", "size", "tokens"],
+            )
+
+    return docs.mapInArrow(scan, "doc long, size long, tokens array<long>")
 
-    return docs.mapInArrow(scan, "doc long, n long, l long, tokens array<long>")
 
+def _sets(docs: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
+    """The sets of the documents in some pairs, read from their texts again."""
 
-def _sets(docs: DataFrame, width: int) -> DataFrame:
     def scan(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        hashes = WordHashes()
+        powers = Powers()
         for batch in batches:
-            raws = [shingles(x.as_py(), width, hashes).tobytes() for x in batch.column(1)]
+            raws = [x.tobytes() for x in shingle_sets(batch.column(1), width, powers)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raws, pa.binary())], names=["doc", "shingles"])
 
-    return docs.mapInArrow(scan, "doc long, shingles binary")
+    wanted = stored(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "wanted")
+    return docs.join(wanted, "doc_id", "left_semi").mapInArrow(scan, "doc long, shingles binary")
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -188,7 +207,8 @@ def similar_documents(docs: DataFrame, width: int = 5, percent: int = 80) -> Dat
     if counts is None:
         counts = np.zeros(_SKETCH)
     chance = counts.mean()
-    level = np.ceil(np.log2(1 + np.maximum(0, counts - chance - 4 * np.sqrt(chance)))).astype(np.uint8)
+    floor = 1 + 4 * float(np.sqrt(chance))
+    level = np.ceil(np.log2(1 + np.maximum(0, counts - chance - floor))).astype(np.uint8)
 
     sizes = scanned.filter("counts IS NULL").drop("counts")
     classes = sizes.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("class"))
@@ -197,54 +217,56 @@ def similar_documents(docs: DataFrame, width: int = 5, percent: int = 80) -> Dat
         .union(sizes.filter("n = 0").select("doc_id", "n", "doc_id")),
         "classes",
     )
-    leaders = member.filter("doc_id = class AND n > 0").select(F.col("doc_id").alias("doc"))
+    discard(scanned)
+    leaders = member.filter("doc_id = class AND n > 0").select(F.col("doc_id").alias("doc")).distinct()
 
-    prefixes = stored(_prefixes(docs, width, percent, level).join(leaders.distinct(), "doc", "left_semi"), "prefixes")
-    postings = prefixes.select(F.explode("tokens").alias("token"), "doc", "n", "l")
+    prefixes = stored(_prefixes(docs, width, percent, level, floor).join(leaders, "doc", "left_semi"), "prefixes")
+    postings = prefixes.select(F.explode("tokens").alias("token"), "doc", "size")
     lists = postings.groupBy("token").agg(F.min("doc").alias("low"), F.max("doc").alias("high"))
     lists = stored(lists.filter("low != high"), "lists")
     postings = stored(postings.join(lists, "token"), "postings")
-    wanted = postings.select("doc").distinct()
-    sets = stored(
-        _sets(docs.join(wanted.withColumnRenamed("doc", "doc_id"), "doc_id", "left_semi"), width)
-        .dropDuplicates(["doc"]),
-        "sets",
-    )
+    discard(prefixes, lists)
 
     # Stars: the partner in the first or last place of most of a document's lists.
-    links = None
+    stars = None
     for centre in ("low", "high"):
-        shared = postings.filter(F.col(centre) != F.col("doc")).groupBy("doc", centre).agg(F.count("*").alias("k"))
-        best = shared.groupBy("doc").agg(F.max(F.struct("k", centre)).alias("best"))
-        pairs = best.select(F.col("doc").alias("b"), F.col(f"best.{centre}").alias("a"))
-        found = stored(_linked(pairs, sets, percent), "links")
-        links = found if links is None else links.union(found)
-    near = components(links)
-
-    def component(frame: DataFrame, on: str, nodes: DataFrame) -> DataFrame:
-        return frame.join(nodes.withColumnRenamed("node", on), on, "left").withColumn(
-            "component", F.coalesce("component", on)
+        shared = postings.filter(F.col(centre) != F.col("doc")).groupBy("doc", centre).agg(
+            F.count("*").alias("k"), F.first("size").alias("size")
         )
+        enough = shared.filter(F.col("k") >= F.col("size") % _PACK)
+        best = enough.groupBy("doc").agg(F.max(F.struct("k", centre)).alias("best"))
+        pairs = best.select(F.least("doc", f"best.{centre}").alias("a"), F.greatest("doc", f"best.{centre}").alias("b"))
+        stars = pairs if stars is None else stars.union(pairs)
+    stars = stored(stars.distinct(), "pairs")
+    sets = stored(_sets(docs, stars, width), "sets")
+    links = stored(_linked(stars, sets, percent), "links")
+    discard(sets)
+    near = stored(components(links), "components")
 
     # What stars left: lists that still hold several components.
-    postings = stored(component(postings.drop("low", "high"), "doc", near), "postings")
-    mixed = (
-        postings.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+    named = postings.select("token", "doc", "size").join(near.withColumnRenamed("node", "doc"), "doc", "left")
+    named = stored(named.withColumn("component", F.coalesce("component", "doc")), "postings")
+    discard(postings)
+    mixed_ = (
+        named.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
         .filter("lo != hi").select("token")
     )
-    rest = stored(postings.join(mixed, "token", "left_semi"), "postings")
-    x = rest.select("token", F.col("doc").alias("a"), F.col("n").alias("na"), F.col("l").alias("la"), F.col("component").alias("ca"))
-    y = rest.select("token", F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("l").alias("lb"), F.col("component").alias("cb"))
+    rest = stored(named.join(stored(mixed_, "lists"), "token", "left_semi"), "postings")
+    discard(named)
+    x = rest.select("token", F.col("doc").alias("a"), F.col("size").alias("sa"), F.col("component").alias("ca"))
+    y = rest.select("token", F.col("doc").alias("b"), F.col("size").alias("sb"), F.col("component").alias("cb"))
+    na, nb = F.floor(F.col("sa") / _PACK), F.floor(F.col("sb") / _PACK)
     met = x.join(y, "token").filter(
-        (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb"))
-        & (100 * F.col("na") >= percent * F.col("nb")) & (100 * F.col("nb") >= percent * F.col("na"))
-    )
+        (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (100 * na >= percent * nb) & (100 * nb >= percent * na)
+    )
     pairs = (
-        met.groupBy("a", "b").agg(F.count("*").alias("k"), F.first(F.least("la", "lb")).alias("l"))
+        met.groupBy("a", "b").agg(F.count("*").alias("k"), F.first(F.least(F.col("sa") % _PACK, F.col("sb") % _PACK)).alias("l"))
         .filter("k >= l").select("a", "b")
     )
-    links = stored(links.union(_linked(stored(pairs, "pairs"), sets, percent)), "links")
-    whole = components(links).withColumnRenamed("node", "class").withColumnRenamed("component", "c")
+    pairs = stored(pairs, "pairs")
+    sets = stored(_sets(docs, pairs, width), "sets")
+    more = stored(_linked(pairs, sets, percent), "links")
+    whole = components(links.union(more)).withColumnRenamed("node", "class").withColumnRenamed("component", "c")
     return member.join(whole, "class", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("c", "class").alias("component_id")
     )
