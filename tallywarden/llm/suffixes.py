@@ -31,7 +31,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallywarden.llm.common import discard, stored
+from tallywarden.llm.common import blocks, discard, stored
 
 _BASE = 0x9E3779B97F4A7C15
 _U = np.uint64
@@ -54,7 +54,7 @@ class Powers:
                 setattr(self, name, np.multiply.accumulate(a))
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
+def mixed(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> _U(31))
     x *= _U(0xBF58476D1CE4E5B9)
     x ^= x >> _U(29)
@@ -101,10 +101,10 @@ def runs(raw, starts: np.ndarray, counts: np.ndarray, length: int, hs: list[int]
     h = hs[0]
     sums = np.zeros(size + 1, _U)
     np.cumsum((a.astype(_U) + _U(1)) * powers.up[:size], out=sums[1:])
-    names = _mixed((sums[h:] - sums[:-h]) * powers.down[: size - h + 1])
+    names = mixed((sums[h:] - sums[:-h]) * powers.down[: size - h + 1])
     for longer in hs[1:]:  # pairs of names at a growing offset
         step, h = longer - h, longer
-        names = _mixed(names[:-step] * _U(0xD6E8FEB86659FD93) + names[step:])
+        names = mixed(names[:-step] * _U(0xD6E8FEB86659FD93) + names[step:])
     least = _least(names, length - h + 1)
     edge = np.zeros(len(least) + 1, np.int8)
     here = counts > 0
@@ -116,28 +116,15 @@ def runs(raw, starts: np.ndarray, counts: np.ndarray, length: int, hs: list[int]
     first = np.flatnonzero(inside & ~np.concatenate([[False], same]))
     goes_on = np.concatenate([same & inside[1:], [False]])
     end = np.flatnonzero(inside & ~goes_on) + 1
-    texts = _mixed((sums[end + length - 1] - sums[first]) * powers.down[first] + (end - first).astype(_U))
+    texts = mixed((sums[end + length - 1] - sums[first]) * powers.down[first] + (end - first).astype(_U))
     return least[first].view(np.int64), texts.view(np.int64), first, end - first
 
 
-def _blocks(sizes: list[int], most: int = 1 << 16) -> Iterator[tuple[int, int]]:
-    """Neighbouring items, taken together up to ``most`` bytes: numpy calls are
-    made per block and their arrays stay in the cache."""
-    lo = total = 0
-    for i, n in enumerate(sizes):
-        if total and total + n > most:
-            yield lo, i
-            lo, total = i, 0
-        total += n
-    if lo < len(sizes):
-        yield lo, len(sizes)
-
-
 def _runs_of_pieces(pieces: list, length: int, hs: list[int], powers: Powers) -> Iterator:
     """Arrow batches of the runs of pieces (doc_id, offset in the text, seg, bytes)."""
     import pyarrow as pa
 
-    for lo, hi in _blocks([len(p[3]) for p in pieces]):
+    for lo, hi in blocks([len(p[3]) for p in pieces]):
         part = pieces[lo:hi]
         ids, offsets, segs = (np.array([p[k] for p in part], np.int64) for k in range(3))
         sizes = np.array([len(p[3]) for p in part])
@@ -205,7 +192,9 @@ def repeated_bytes(docs: DataFrame, length: int = 100, first: int = 25) -> DataF
     """Maximal pieces (doc_id, start, end) to remove, possibly overlapping."""
     hs = growing(length, min(first, length))
     all_runs = _runs_of_texts(docs, length, hs[:1])
-    names = all_runs.groupBy("m").agg(F.count("*").alias("c")).filter("c > 1").select("m")
+    # Written first: both sides of the join then are plain scans, and Spark can
+    # split a name that a third of all runs have.
+    names = stored(all_runs.groupBy("m").agg(F.count("*").alias("c")).filter("c > 1").select("m"), "repeated")
     rows = stored(all_runs.join(names, "m", "left_semi"), "names")
     out, raw = [], None
     for k in range(len(hs)):
@@ -218,7 +207,7 @@ def repeated_bytes(docs: DataFrame, length: int = 100, first: int = 25) -> DataF
         if k + 1 == len(hs):
             discard(rows, firsts)
             break
-        shared = firsts.groupBy("m").agg(F.count("*").alias("k")).filter("k > 1").select("m")
+        shared = stored(firsts.groupBy("m").agg(F.count("*").alias("k")).filter("k > 1").select("m"), "repeated")
         left = firsts.join(shared, "m", "left_semi").select("at.*")
         if raw is None:
             raw = stored(_raw_segments(docs, left, length), "segments")
