@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tallywarden.functions.html import page_links
 from tallywarden.functions.text import fill_template
-from tallywarden.operators import evaluate, registry, rules, summary
+from tallywarden.operators import audit, evaluate, registry, rules, summary
 
 
 def test_conditions_do_not_depend_on_the_number_of_rules(spark):
@@ -87,3 +87,17 @@ def test_clause_search_reads_whole_phrases(spark):
     same = "a" * 70
     df = spark.createDataFrame([(1, same + " x"), (2, same + " y")], "id int, c string")
     assert [r.id for r in registry.clause_search(df, "c", same + " y", ["id"]).collect()] == [2]
+
+
+def test_matrix_without_hits_keeps_the_order_of_the_list(spark):
+    df = spark.createDataFrame([(0, "R9", "one", None), (1, "R1", "two", "LOW"), (2, "R0", "three", "LOW")],
+                               "idx int, rule_id string, title string, severity string").withColumn("description", F.lit(""))
+    got = [(r.place, r.rule_id, r.severity, r.percentage) for r in audit.keyword_matrix(df, "idx").orderBy("place").collect()]
+    assert got == [(0, "R9", "MEDIUM", 2.0), (1, "R1", "LOW", 2.0)]
+
+
+def test_matrix_takes_each_rule_once(spark):
+    rows = [(0, "A", "kyc and ctr", ""), (1, "B", "ctr", None), (2, "C", "aml pep sanction", "LOW")]
+    df = spark.createDataFrame(rows, "idx int, rule_id string, title string, severity string").withColumn("description", F.lit(None).cast("string"))
+    got = [(r.place, r.rule_id, r.severity) for r in audit.keyword_matrix(df, "idx").orderBy("place").collect()]
+    assert got == [(0, "A", "MEDIUM"), (1, "B", "HIGH"), (2, "C", "LOW")]
