@@ -2,7 +2,7 @@
 recurrent model.
 
 * Counts cover all training texts. Tasks count their own tokens; Spark adds up.
-* The ``head`` most frequent tokens, a bounded number, travel to all tasks. What
+* The most frequent tokens, up to ``head``, travel to all tasks. What
   is not among them meets its counts in a join.
 * The recurrent model knows the ``words`` most frequent tokens. Any other is
   "another token" to it, times that token's smoothed share of all others.
@@ -54,6 +54,25 @@ def _counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(scan, "token binary, c long").groupBy("token").agg(F.sum("c").alias("c"))
 
 
+def _most_frequent(counts: DataFrame, most: int) -> list:
+    """The tokens above some count, as many as ``most`` allows, by count and token.
+
+    How many tokens have which count comes from a table of fixed size (counts up to
+    4,096, steps of about a hundredth beyond), so the driver gets those tokens
+    and no task sends it candidates.
+    """
+    step = F.when(F.col("c") <= 4096, F.col("c")).otherwise(4096 + F.floor(F.log2(F.col("c") / 4096) * 64)).cast("long")
+    lowest, total = None, 0
+    for at, n in sorted(counts.groupBy(step.alias("at")).count().collect(), reverse=True):
+        total += n
+        if total > most:
+            break
+        lowest = at
+    if lowest is None:
+        return []
+    return sorted(counts.filter(step >= lowest).collect(), key=lambda r: (-r.c, bytes(r.token)))
+
+
 def scores(
     docs: DataFrame, words: int = 2048, hidden: int = 24, per_class: int = 46, head: int = 200_000,
     share: int = 10, rounds: int = 3, seed: int = 11,
@@ -74,7 +93,7 @@ def scores(
     counts = stored(_counts(training), "counts")
     n, v = counts.agg(F.sum("c"), F.count("*")).first()
     n, v = n or 0, v or 0
-    top = counts.filter(F.length("token") > 0).orderBy(F.desc("c"), "token").limit(head).collect()
+    top = _most_frequent(counts.filter(F.length("token") > 0), head)
     ends = counts.filter(F.length("token") == 0).collect()
     known = [_END] + [bytes(r.token) for r in top]
     often = np.array([ends[0].c if ends else 0] + [r.c for r in top], np.int64)
