@@ -107,7 +107,7 @@ HOST = "regexp_extract(url, '^https?://([^/]+)', 1)"
     "t6_best_text",
     f"""SELECT host, pos, md5(html) AS text_md5 FROM (
           SELECT {HOST} AS host, html, row_number() OVER (PARTITION BY {HOST} ORDER BY page_id) - 1 AS pos FROM pages)
-        WHERE pos <= 12 QUALIFY row_number() OVER (PARTITION BY host ORDER BY length(html) DESC, pos) = 1 AND length(html) >= 500""",
+        QUALIFY row_number() OVER (PARTITION BY host ORDER BY length(html) DESC, pos) = 1 AND length(html) >= 500""",
 )
 def _(spark, sf):
     hosted = pages(spark, sf).withColumn("host", F.regexp_extract("url", "^https?://([^/]+)", 1))
@@ -425,7 +425,7 @@ GIVEN = "CASE WHEN page_id % 17 = 0 THEN ' Master Direction' WHEN page_id % 19 =
 
 @query(
     "p14_document_type",
-    rf"""WITH j AS (SELECT page_id, lower(url) AS u, lower(substr(text, 1, 2000)) AS t, {GIVEN} AS g FROM pages JOIN documents ON doc_id = page_id),
+    rf"""WITH j AS (SELECT page_id, lower(url) AS u, lower(text) AS t, {GIVEN} AS g FROM pages JOIN documents ON doc_id = page_id),
          c AS (SELECT page_id, g, CASE WHEN regexp_matches(u, 'spam\s*-') THEN 'gazette' WHEN regexp_matches(u, 'blog') THEN 'amendment'
              WHEN regexp_matches(u, 'utm') THEN 'notification' WHEN regexp_matches(u, 'm\.') THEN 'circular' END AS n,
            CASE WHEN regexp_matches(t, '\bthe\s+of\b') THEN 'master_direction' WHEN regexp_matches(t, '(?-s)ein.*und') THEN 'gazette'

@@ -127,13 +127,20 @@ def _(spark, sf):
 
 @query(
     "p22_rules_not_evaluated",
-    f"""WITH {BOOK_SQL} SELECT rule_id, field NOT IN (SELECT column_name FROM (DESCRIBE SELECT o_totalprice AS amount,
+    f"""WITH {BOOK_SQL} SELECT rule_id, CASE WHEN e THEN n ELSE 0 END AS rows_evaluated, CASE WHEN e THEN 0 ELSE n END AS rows_not_evaluated
+        FROM (SELECT rule_id, field IN (SELECT column_name FROM (DESCRIBE SELECT o_totalprice AS amount,
           o_totalprice AS monthly_cash_total, o_orderpriority AS priority, 0 AS balance, '' AS segment, 0 AS record_age_years
-          FROM orders)) AS skipped FROM book""",
+          FROM orders)) AS e FROM book), (SELECT count(*) AS n FROM orders)""",
 )
 def _(spark, sf):
-    told = evaluate.evaluated_rules(book(spark), transactions(spark, sf).columns)
-    return told.select("rule_id", (~F.col("evaluated")).alias("skipped"))
+    tx = transactions(spark, sf)
+    told = evaluate.evaluated_rules(book(spark), tx.columns)
+    n, none = tx.agg(F.count("*").alias("n")).scalar(), F.lit(0).cast("long")
+    return told.select(
+        "rule_id",
+        F.when(F.col("evaluated"), n).otherwise(none).alias("rows_evaluated"),
+        F.when(F.col("evaluated"), none).otherwise(n).alias("rows_not_evaluated"),
+    )
 
 
 @query(

@@ -1,4 +1,4 @@
-"""Streaming ingest, stage metrics and model calls."""
+"""Streaming ingest, stage metrics and whole jobs."""
 
 from __future__ import annotations
 
@@ -8,8 +8,6 @@ from pyspark.sql import types as T
 from checks.base import WS, query, table
 from checks.transactions import LINES, lines
 from tallywarden.operators import chunking as ck
-from tallywarden.operators import scoring
-from tallywarden.operators.scoring import RateLimited
 from tallywarden.plans import jobs
 from tallywarden.session import scratch_path
 from tallywarden.streaming import microbatch as mb
@@ -44,7 +42,7 @@ def streamed(spark, sf) -> tuple[str, str]:
 )
 def _(spark, sf):
     rows, _metrics = streamed(spark, sf)
-    return spark.read.parquet(rows).drop("batch_id")
+    return spark.read.parquet(rows).drop("batch_id", mb.ROW_HASH)
 
 
 @query(
@@ -78,61 +76,6 @@ def _(spark, sf):
     return out
 
 
-def _first(prompt: str) -> str:
-    if len(prompt) % 3 == 0:
-        raise RateLimited("first")
-    if len(prompt) % 7 == 0:
-        raise ValueError("no answer")
-    return "{}"
-
-
-def _second(prompt: str) -> str:
-    if len(prompt) % 5 == 0:
-        raise RateLimited("second")
-    return "{}"
-
-
-@query(
-    "v1_scored_batches",
-    """WITH o AS (SELECT CASE WHEN n % 3 > 0 THEN 'first' ELSE 'second' END AS provider,
-         CASE WHEN n % 3 > 0 THEN CASE WHEN n % 7 = 0 THEN 'error' ELSE 'completed' END
-           WHEN n % 5 = 0 THEN 'rate_limited' ELSE 'completed' END AS outcome FROM (SELECT length(text) AS n FROM documents))
-       SELECT provider, outcome, count(*) AS batches FROM o GROUP BY ALL""",
-)
-def _(spark, sf):
-    prompts = table(spark, sf, "documents").select("doc_id", F.col("text").alias("prompt"))
-    scored = scoring.score_batches(prompts, [("first", _first), ("second", _second)], parallel=8)
-    return scoring.outcome_counts(scored)
-
-
-class _Flaky:
-    """Gives a usable answer on the second try only for prompts of even length."""
-
-    def __init__(self):
-        self.seen = {}
-
-    def __call__(self, prompt: str) -> str:
-        self.seen[prompt] = self.seen.get(prompt, 0) + 1
-        if len(prompt) % 2 == 0 and self.seen[prompt] > 1:
-            return '{"rules": []}'
-        return "not json"
-
-
-@query(
-    "v2_retried_answers",
-    """SELECT CASE WHEN length(text) % 2 = 0 THEN '{"rules": []}' ELSE '{}' END AS answer, count(*) AS prompts FROM documents GROUP BY 1""",
-)
-def _(spark, sf):
-    prompts = table(spark, sf, "documents").select("doc_id", F.col("text").alias("prompt"))
-    # Copies of a text share a partition's scorer, so each prompt is made its own.
-    prompts = prompts.withColumn(
-        "prompt", F.concat("prompt", F.lpad(F.col("doc_id").cast("string"), 12, "0"))
-    )
-    scorer = scoring.with_retries(_Flaky(), lambda a: a.startswith("{"))
-    scored = scoring.score_batches(prompts, [("only", scorer)])
-    return scored.groupBy("answer").agg(F.count("*").alias("prompts"))
-
-
 @query(
     "clean_transactions",
     f"""WITH {LINES} SELECT l_returnflag, l_linestatus, shipdate, min(row_idx) AS row_idx FROM lines GROUP BY ALL""",

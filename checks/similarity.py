@@ -51,15 +51,6 @@ def _(spark, sf):
     return d.join(shifted, "doc_id").filter("t <> '' or u <> ''").select("doc_id", ratio.alias("ratio"))
 
 
-@query("f9_gestalt_ratio")
-def _(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", F.substring_index("text", ".", 1).alias("t"))
-    shifted = d.select((F.col("doc_id") - 1).alias("doc_id"), F.col("t").alias("u"))
-    return d.join(shifted, "doc_id").select(
-        "doc_id", sm.gestalt_ratio(sm.normal(F.col("t")), sm.normal(F.col("u"))).alias("ratio")
-    )
-
-
 GREEDY = f"""{NODES},
   placed AS (SELECT idx, lang, row_number() OVER (PARTITION BY lang ORDER BY idx) AS p FROM nodes),
   before AS (SELECT hi AS idx, list(lo) AS los FROM pairs GROUP BY 1),
@@ -120,20 +111,20 @@ def _(spark, sf):
 
 @query(
     "j7_clause_candidates",
-    f"""WITH p AS (SELECT item_id, lower(substr(replace(substr(trim(text, {WS}), 1, 120), '%', ''), 1, 60)) AS phrase FROM benchmark)
+    f"""WITH p AS (SELECT item_id, lower(replace(trim(text, {WS}), '%', '')) AS phrase FROM benchmark)
         SELECT item_id, doc_id, CAST(0.1 AS DOUBLE) AS distance FROM p JOIN documents d ON contains(lower(d.text), phrase)
         QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY doc_id) <= 3""",
 )
 def _(spark, sf):
     b = table(spark, sf, "benchmark")
     d = table(spark, sf, "documents")
-    got = cd.clause_candidates(b, "item_id", clause_phrase(F.col("text")), d, "doc_id", "text")
+    got = cd.clause_candidates(b, "item_id", clause_phrase(F.col("text")), d, "doc_id", "text", 3)
     return got.withColumn("distance", F.col("distance").cast("double"))
 
 
 @query(
     "j7_clause_candidates_within",
-    f"""WITH p AS (SELECT doc_id AS new_id, lower(substr(replace(substr(trim(text, {WS}), 1, 120), '%', ''), 1, 60)) AS phrase FROM documents),
+    f"""WITH p AS (SELECT doc_id AS new_id, lower(replace(trim(text, {WS}), '%', '')) AS phrase FROM documents),
           u AS (SELECT DISTINCT phrase FROM p WHERE phrase <> '')
         SELECT new_id, doc_id FROM p JOIN (SELECT phrase, doc_id FROM u JOIN documents d ON contains(lower(d.text), phrase)
           QUALIFY row_number() OVER (PARTITION BY phrase ORDER BY doc_id) <= 3) USING (phrase)""",
@@ -141,7 +132,7 @@ def _(spark, sf):
 def _(spark, sf):
     d = table(spark, sf, "documents")
     new = d.select(F.col("doc_id").alias("new_id"), F.col("text").alias("clause"))
-    got = cd.clause_candidates(new, "new_id", clause_phrase(F.col("clause")), d, "doc_id", "text")
+    got = cd.clause_candidates(new, "new_id", clause_phrase(F.col("clause")), d, "doc_id", "text", 3)
     return got.select("new_id", "doc_id")
 
 

@@ -54,17 +54,19 @@ def document_type(
     name: Column, text: Column, explicit: Column | None = None,
     name_patterns: list[tuple[str, str]] | None = None,
     page_patterns: list[tuple[str, str]] | None = None,
+    first: int | None = None,
 ) -> Column:
     """struct(document_type, document_date, detection_method).
 
     A given type wins (an unknown one counts as circular), then the file name,
-    then the first 2,000 characters, then circular. Where the text told the
+    then the text (its ``first`` characters, if given), then circular. Where the text told the
     type, the date is looked for in the text first, otherwise in the name first.
     """
     given = normal_type(explicit if explicit is not None else F.lit(None).cast("string"))
     given = F.when(given != "", given)
     by_name = _cascade(F.lower(name), name_patterns or NAME_PATTERNS)
-    by_text = _cascade(F.lower(F.substring(text, 1, 2000)), page_patterns or PAGE_PATTERNS)
+    shown = text if first is None else F.substring(text, 1, first)
+    by_text = _cascade(F.lower(shown), page_patterns or PAGE_PATTERNS)
     method = (
         F.when(given.isNotNull(), "explicit")
         .when(by_name.isNotNull(), "filename_pattern")
@@ -132,16 +134,16 @@ def fill_empty_pages(df: DataFrame, second: DataFrame, keys: list[str], text: st
 
 
 def best_text(
-    df: DataFrame, key: str, text: str, place: str, min_chars: int = 500, candidates: int = 12
+    df: DataFrame, key: str, text: str, place: str, min_chars: int = 500, candidates: int | None = None
 ) -> DataFrame:
     """Longest text per key, the earliest on ties, nothing below ``min_chars``.
 
-    ``place`` numbers the texts of a key from 0 (the page itself); links beyond
-    the first ``candidates`` are not looked at.
+    ``place`` numbers the texts of a key from 0 (the page itself); with
+    ``candidates`` links beyond that many are not looked at.
     """
     rank = F.struct(F.length(text), -F.col(place))
     return (
-        df.filter(F.col(place) <= candidates)
+        (df if candidates is None else df.filter(F.col(place) <= candidates))
         .groupBy(key)
         .agg(F.max_by(F.struct(F.col(place), F.col(text)), rank).alias("b"))
         .select(key, F.col(f"b.{place}").alias(place), F.col(f"b.{text}").alias(text))

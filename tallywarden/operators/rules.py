@@ -294,6 +294,8 @@ def query_text() -> Column:
     return F.concat_ws(" ", *[F.coalesce(F.col(c), F.lit("")) for c in ("title", "description", "source_clause")])
 
 
-def clause_phrase(clause: Column, length: int = 60) -> Column:
-    """Search phrase of a clause: stripped, 120 characters, no %, then 60."""
-    return F.substring(F.replace(F.substring(strip(clause), 1, 120), F.lit("%"), F.lit("")), 1, length)
+def clause_phrase(clause: Column, length: int | None = None) -> Column:
+    """Search phrase of a clause: stripped, without %; or only its first
+    ``length`` characters, where a view asks for that."""
+    whole = F.replace(strip(clause), F.lit("%"), F.lit(""))
+    return whole if length is None else F.substring(whole, 1, length)

@@ -31,7 +31,7 @@ def _text_schema(schema: T.StructType) -> T.StructType:
 def _csv_options(multiline: bool) -> dict:
     return dict(
         header=True, encoding="UTF-8", quote='"', escape='"', multiLine=multiline,
-        mode="PERMISSIVE", enforceSchema=True,
+        mode="PERMISSIVE", enforceSchema=False,
     )
 
 
@@ -39,21 +39,30 @@ def scan_csv(
     spark: SparkSession,
     path: str,
     schema: T.StructType | None = None,
-    multiline: bool = True,
+    multiline: bool = False,
     row_index: str | None = None,
 ) -> DataFrame:
     """CSV with header; malformed UTF-8 is replaced, null tokens become null.
 
+    Columns are found by their names in the header, in whatever order; a column of
+    the schema that the header lacks is an error, and so is a file whose header
+    differs from that of the first one.
+
     Give a schema for large data: without one Spark reads the files twice.
     ``multiline`` allows line ends inside quotes but keeps Spark from splitting
-    a file; switch it off for large single-line files.
+    a file.
     ``row_index`` names a column for the position of each row over all files.
     """
     if schema is None:
         schema = spark.read.csv(
             path, inferSchema=True, nullValue="", **_csv_options(multiline)
         ).schema
-    raw = spark.read.schema(_text_schema(schema)).csv(path, **_csv_options(multiline))
+    header = spark.read.csv(path, **_csv_options(multiline)).columns
+    lacking = [f.name for f in schema.fields if f.name not in header]
+    if lacking:
+        raise ValueError(f"columns not in the header of {path}: {lacking}")
+    texts = T.StructType([T.StructField(c, T.StringType()) for c in header])
+    raw = spark.read.schema(texts).csv(path, **_csv_options(multiline))
     if row_index:
         raw = with_row_index(raw, "__row_index")
     out = _typed(raw, schema)

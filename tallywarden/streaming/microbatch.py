@@ -18,22 +18,42 @@ from tallywarden.operators.cleaning import (
 from tallywarden.sources.tables import stream_csv
 
 
-def clean_chunks(df: DataFrame, row_idx: str, chunk: str) -> DataFrame:
-    """Cleaning with duplicates searched within each chunk of rows only."""
+# A digest of each stored row as it came: what later batches are compared with.
+ROW_HASH = "row_hash"
+
+
+def clean_chunks(df: DataFrame, row_idx: str, chunk: str, seen: DataFrame | None = None) -> DataFrame:
+    """Cleaning with duplicates searched within each chunk of rows only: among the
+    rows of ``df``, and against rows ``seen`` before (chunk and row hash)."""
     bare = without_columns(df)
     data = [c for c in bare.columns if c not in (row_idx, chunk)]
     kept = first_of_duplicates(drop_empty_rows(bare, data), row_idx, [chunk])
+    kept = kept.withColumn(ROW_HASH, F.sha2(F.to_json(F.struct(*data)), 256))
+    if seen is not None:
+        kept = kept.join(seen, [chunk, ROW_HASH], "left_anti")
     return trim_text(kept)
 
 
+def _stored_before(batch: DataFrame, batch_id: int, rows_path: str, chunk: str) -> DataFrame | None:
+    """Chunk and hash of the rows that earlier batches stored for the chunks of
+    this one; a batch that is run again does not see itself."""
+    spark = batch.sparkSession
+    root = spark._jvm.org.apache.hadoop.fs.Path(rows_path)
+    if not root.getFileSystem(spark._jsc.hadoopConfiguration()).exists(root):
+        return None
+    rows = spark.read.parquet(rows_path).filter(F.col("batch_id") < batch_id).select(chunk, ROW_HASH)
+    return rows.join(batch.select(chunk).distinct(), chunk, "left_semi")
+
+
 def _one_batch(rows_path: str, metrics_path: str, row_idx: str, chunk: str) -> Callable:
     def run(batch: DataFrame, batch_id: int) -> None:
         # Both tables are partitioned by the batch: a batch that is run again
         # after a failure replaces its own rows and nothing else.
         spark = batch.sparkSession
         target = f"{rows_path}/batch_id={batch_id}"
-        clean_chunks(batch, row_idx, chunk).write.mode("overwrite").parquet(target)
-        clean = spark.read.parquet(target)
+        before = _stored_before(batch, batch_id, rows_path, chunk)
+        clean_chunks(batch, row_idx, chunk, before).write.mode("overwrite").parquet(target)
+        clean = spark.read.parquet(target).drop(ROW_HASH)
         data = [c for c in clean.columns if c not in (row_idx, chunk)]
         seen = batch.groupBy(chunk).agg(F.count("*").alias("rows_input"))
         stored = clean.groupBy(chunk).agg(F.count("*").alias("rows_stored"))
@@ -90,10 +110,10 @@ def running_totals(metrics: DataFrame) -> DataFrame:
     )
 
 
-def failures(metrics: DataFrame) -> DataFrame:
-    """Chunks that failed, per check."""
+def failures(metrics: DataFrame, chunk: str = "chunk") -> DataFrame:
+    """Chunks that failed, per check; a chunk that several batches hold counts once."""
     return (
-        metrics.select(F.explode("failed").alias("name"))
+        metrics.select(F.explode("failed").alias("name"), chunk)
         .groupBy("name")
-        .agg(F.count("*").alias("failed_chunks"))
+        .agg(F.count_distinct(F.coalesce(F.col(chunk).cast("string"), F.lit(""))).alias("failed_chunks"))
     )

@@ -19,11 +19,11 @@ def test_csv_edge_rows(spark, tmp_path):
         b'id,name,amount\n1,"a, b","12,50,000"\n2,"two\nlines",NA\n3,bad\xff,null\n4,,7.5\n5,x,oops\n'
     )
     schema = T.StructType().add("id", "long").add("name", "string").add("amount", "double")
-    got = src.scan_csv(spark, str(path), schema).collect()
+    got = src.scan_csv(spark, str(path), schema, multiline=True).collect()
     assert [r.name for r in got] == ["a, b", "two\nlines", "bad�", None, "x"]
     assert [r.amount for r in got] == [None, None, None, 7.5, None]
     text = T.StructType().add("id", "long").add("name", "string").add("amount", "string")
-    grouped = src.scan_csv(spark, str(path), text).select(cl.parsed_amount(F.col("amount")).alias("a"))
+    grouped = src.scan_csv(spark, str(path), text, multiline=True).select(cl.parsed_amount(F.col("amount")).alias("a"))
     assert [r.a for r in grouped.collect()] == [1250000.0, None, None, 7.5, None]
 
 

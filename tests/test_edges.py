@@ -2,11 +2,15 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallywarden.functions.html import page_links
 from tallywarden.functions.text import fill_template
 from tallywarden.operators import audit, evaluate, registry, rules, summary
+from tallywarden.sources.tables import scan_csv
+from tallywarden.streaming import microbatch
 
 
 def test_conditions_do_not_depend_on_the_number_of_rules(spark):
@@ -101,3 +105,25 @@ def test_matrix_takes_each_rule_once(spark):
     df = spark.createDataFrame(rows, "idx int, rule_id string, title string, severity string").withColumn("description", F.lit(None).cast("string"))
     got = [(r.place, r.rule_id, r.severity) for r in audit.keyword_matrix(df, "idx").orderBy("place").collect()]
     assert got == [(0, "A", "MEDIUM"), (1, "B", "HIGH"), (2, "C", "LOW")]
+
+
+def test_csv_columns_go_by_name(spark, tmp_path):
+    (tmp_path / "t.csv").write_text("b,a\n1,x\n")
+    schema = "a string, b long"
+    assert [tuple(r) for r in scan_csv(spark, str(tmp_path), T.StructType.fromDDL(schema)).collect()] == [("x", 1)]
+    with pytest.raises(ValueError):
+        scan_csv(spark, str(tmp_path), T.StructType.fromDDL("c string"))
+
+
+@pytest.mark.parametrize("files_per_batch", [1, 16])
+def test_stream_finds_copies_across_batches(spark, tmp_path, files_per_batch):
+    (tmp_path / "in").mkdir()
+    for k, rows in enumerate(["0,x ,1\n1,y,1\n", "2,x ,1\n3,x,1\n4,x ,2\n"]):
+        (tmp_path / "in" / f"{k}.csv").write_text("row_idx,a,chunk\n" + rows)
+    schema = T.StructType.fromDDL("row_idx long, a string, chunk long")
+    paths = [f"{tmp_path}/{d}" for d in ("rows", "metrics", "checkpoint")]
+    microbatch.ingest(spark, f"{tmp_path}/in", schema, *paths, "row_idx", "chunk", files_per_batch)
+    rows = spark.read.parquet(paths[0]).collect()
+    assert sorted((r.chunk, r.a) for r in rows) == [(1, "x"), (1, "x"), (1, "y"), (2, "x")]
+    total = microbatch.running_totals(spark.read.parquet(paths[1])).first()
+    assert (total.rows_input, total.rows_stored) == (5, 4)

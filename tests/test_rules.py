@@ -114,11 +114,11 @@ def test_clause_candidates_equal_brute_force(spark):
     phrases += ["not there at all anywhere", "", "zz", "  The% OF bank  "]
     old = spark.createDataFrame([(f"r{i:03d}", t) for i, t in enumerate(texts)], "rule_id string, clause string")
     new = spark.createDataFrame(list(enumerate(phrases)), "new_id long, clause string")
-    got = candidates.clause_candidates(new, "new_id", rl.clause_phrase(F.col("clause")), old, "rule_id", "clause")
+    got = candidates.clause_candidates(new, "new_id", rl.clause_phrase(F.col("clause"), 60), old, "rule_id", "clause", 3)
     got = sorted((r.new_id, r.rule_id) for r in got.collect())
     want = []
     for i, p in enumerate(phrases):
-        p = p.strip()[:120].replace("%", "")[:60].lower()
+        p = p.strip().replace("%", "")[:60].lower()
         if p:
             want += [(i, f"r{j:03d}") for j, t in enumerate(texts) if p in t.lower()][:3]
             # the first three by position
