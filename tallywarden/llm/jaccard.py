@@ -10,13 +10,13 @@ is read more often but lets fewer pairs through. Each document chooses its own
 * **Order.** Rare shingles first. How often one occurs is read from a sketch of
   2^18 counters over all documents; any order is right, so the sketch only
   decides speed.
-* **Equal sets are one.** Documents with the same set are a class; one of them
-  is joined.
+* **Equal sets are one.** Documents with the same set are a class; each task sends
+  one of them to the join.
 * **No pairs within a group.** Only whether two documents are connected is
-  asked. First each document is compared with the first and then with the last
-  document of its prefix lists (stars); what that connects is contracted, lists
-  that hold one component only are dropped, and pairs are made between different
-  components.
+  asked. In a few rounds each document is compared with one centre of its prefix
+  lists, in the first round the document whose shingles are shared most; what
+  that connects is contracted and lists that hold one component only are dropped.
+  In the end pairs are made between different components.
 * Shared folders hold the sets of documents that have a candidate; verification
   is exact on 64-bit shingle hashes.
 """
@@ -40,6 +40,7 @@ _VERIFY_COST = 64.0  # reading a posting costs 1
 _FEWER = 0.7  # share of the documents with l shingles in common that have l + 1
 _MOST = 31  # longest l tried
 _PACK = 32  # above it
+_STARS = 3  # rounds of comparing with centres
 
 
 _SPACE = np.zeros(256, bool)
@@ -108,6 +109,10 @@ def adaptive_prefix(x: np.ndarray, level: np.ndarray, percent: int, floor: float
     return x[order[: first + chosen - 1]], chosen
 
 
+def _signs(x: np.ndarray) -> tuple[int, int]:
+    return int(x.sum(dtype=_U)), int((x * (x >> _U(7))).sum(dtype=_U))
+
+
 def _signatures(docs: DataFrame, width: int) -> DataFrame:
     """Per document the size and a 128-bit signature of its set; per task, in a
     row of its own, the counters of its shingles."""
@@ -122,8 +127,8 @@ def _signatures(docs: DataFrame, width: int) -> DataFrame:
             for x in shingle_sets(batch.column(1), width, powers):
                 np.add.at(counts, (x >> _U(46)).astype(np.int64), 1.0)
                 ns.append(len(x))
-                s1.append(int(x.sum(dtype=_U)))
-                s2.append(int((x * (x >> _U(7))).sum(dtype=_U)))
+                for column, sign in zip((s1, s2), _signs(x)):
+                    column.append(sign)
             signs = [pa.array(np.array(c, _U).view(np.int64)) for c in (s1, s2)]
             none = pa.nulls(batch.num_rows, pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ns, pa.int64()), *signs, none], names=names)
@@ -134,16 +139,18 @@ def _signatures(docs: DataFrame, width: int) -> DataFrame:
 
 
 def _prefixes(docs: DataFrame, width: int, percent: int, level: np.ndarray, floor: float) -> DataFrame:
-    """``doc``, ``size`` (its set's size and ``l`` in one number) and ``tokens``."""
+    """``doc``, ``size`` (its set's size and ``l`` in one number) and ``tokens``;
+    of equal sets in a task the first only."""
 
     def scan(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        powers = Powers()
+        powers, seen = Powers(), set()
         for batch in batches:
             ids, sizes, tokens = [], [], []
             for i, x in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1), width, powers)):
-                if len(x):
+                if len(x) and (sign := (len(x), *_signs(x))) not in seen:
+                    seen.add(sign)
                     p, l = adaptive_prefix(x, level, percent, floor)
                     ids.append(i)
                     sizes.append(len(x) * _PACK + l)
@@ -158,8 +165,8 @@ def _prefixes(docs: DataFrame, width: int, percent: int, level: np.ndarray, floo
     return docs.mapInArrow(scan, "doc long, size long, tokens array<long>")
 
 
-def _sets(docs: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
-    """The sets of the documents in some pairs, read from their texts again."""
+def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """The sets of some documents, read from their texts again."""
 
     def scan(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -169,8 +176,8 @@ def _sets(docs: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
             raws = [x.tobytes() for x in shingle_sets(batch.column(1), width, powers)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raws, pa.binary())], names=["doc", "shingles"])
 
-    wanted = stored(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "wanted")
-    return docs.join(wanted, "doc_id", "left_semi").mapInArrow(scan, "doc long, shingles binary")
+    ids = wanted.withColumnRenamed("doc", "doc_id")
+    return docs.join(ids, "doc_id", "left_semi").mapInArrow(scan, "doc long, shingles binary")
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -211,48 +218,56 @@ def similar_documents(docs: DataFrame, width: int = 5, percent: int = 80) -> Dat
     level = np.ceil(np.log2(1 + np.maximum(0, counts - chance - floor))).astype(np.uint8)
 
     sizes = scanned.filter("counts IS NULL").drop("counts")
-    classes = sizes.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("class"))
+    classes = stored(sizes.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("class")), "classes")
     member = stored(
         sizes.filter("n > 0").join(classes, ["n", "s1", "s2"]).select("doc_id", "n", "class")
         .union(sizes.filter("n = 0").select("doc_id", "n", "doc_id")),
-        "classes",
+        "members",
     )
-    discard(scanned)
-    leaders = member.filter("doc_id = class AND n > 0").select(F.col("doc_id").alias("doc")).distinct()
+    discard(scanned, classes)
 
-    prefixes = stored(_prefixes(docs, width, percent, level, floor).join(leaders, "doc", "left_semi"), "prefixes")
+    prefixes = stored(_prefixes(docs, width, percent, level, floor), "prefixes")
     postings = prefixes.select(F.explode("tokens").alias("token"), "doc", "size")
-    lists = postings.groupBy("token").agg(F.min("doc").alias("low"), F.max("doc").alias("high"))
-    lists = stored(lists.filter("low != high"), "lists")
-    postings = stored(postings.join(lists, "token"), "postings")
+    lists = postings.groupBy("token").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.count("*").alias("df"))
+    lists = stored(lists.filter("low != high").select("token", "df"), "lists")
+    named = stored(postings.join(lists, "token"), "postings")
     discard(prefixes, lists)
+    # A document can have a partner only if enough of its prefix occurs elsewhere.
+    facts = named.groupBy("doc").agg(F.count("*").alias("k"), F.first("size").alias("size"), F.avg("df").alias("fame"))
+    facts = stored(facts.filter(F.col("k") >= F.col("size") % _PACK).select("doc", "fame"), "facts")
+    sets = stored(_sets(docs, facts.select("doc"), width), "sets")
+    first = named.join(facts, "doc").select("token", "doc", "size", "fame", F.col("doc").alias("component"))
+    current = stored(first, "postings")
+    discard(named)
 
-    # Stars: the partner in the first or last place of most of a document's lists.
-    stars = None
-    for centre in ("low", "high"):
-        shared = postings.filter(F.col(centre) != F.col("doc")).groupBy("doc", centre).agg(
+    links = None
+    for turn in range(_STARS):
+        # The centre of a list: the document whose prefix is shared most, later any.
+        rank = -F.col("fame") if turn == 0 else F.xxhash64("doc", F.lit(turn)).cast("double")
+        centre = F.min(F.struct(rank.alias("r"), F.col("doc").alias("centre"), F.col("component").alias("its"))).alias("c")
+        mixed_ = current.groupBy("token").agg(
+            centre, F.min("component").alias("lo"), F.max("component").alias("hi")
+        ).filter("lo != hi")
+        mixed_ = stored(mixed_.select("token", "c.centre", "c.its"), "lists")
+        current = stored(current.join(mixed_, "token"), "postings")
+        discard(mixed_)
+        shared = current.filter("component != its").groupBy("doc", "centre").agg(
             F.count("*").alias("k"), F.first("size").alias("size")
         )
         enough = shared.filter(F.col("k") >= F.col("size") % _PACK)
-        best = enough.groupBy("doc").agg(F.max(F.struct("k", centre)).alias("best"))
-        pairs = best.select(F.least("doc", f"best.{centre}").alias("a"), F.greatest("doc", f"best.{centre}").alias("b"))
-        stars = pairs if stars is None else stars.union(pairs)
-    stars = stored(stars.distinct(), "pairs")
-    sets = stored(_sets(docs, stars, width), "sets")
-    links = stored(_linked(stars, sets, percent), "links")
-    discard(sets)
-    near = stored(components(links), "components")
+        best = enough.groupBy("doc").agg(F.max(F.struct("k", "centre")).alias("best"))
+        pairs = best.select(F.least("doc", "best.centre").alias("a"), F.greatest("doc", "best.centre").alias("b"))
+        found = stored(_linked(pairs.distinct(), sets, percent), "links")
+        links = found if links is None else links.union(found)
+        near = stored(components(links).withColumnRenamed("node", "doc"), "components")
+        kept = current.drop("component", "centre", "its").join(near, "doc", "left")
+        current = stored(kept.withColumn("component", F.coalesce("component", "doc")), "postings")
+        if found.isEmpty():
+            break
 
     # What stars left: lists that still hold several components.
-    named = postings.select("token", "doc", "size").join(near.withColumnRenamed("node", "doc"), "doc", "left")
-    named = stored(named.withColumn("component", F.coalesce("component", "doc")), "postings")
-    discard(postings)
-    mixed_ = (
-        named.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-        .filter("lo != hi").select("token")
-    )
-    rest = stored(named.join(stored(mixed_, "lists"), "token", "left_semi"), "postings")
-    discard(named)
+    mixed_ = current.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+    rest = stored(current.join(stored(mixed_.filter("lo != hi").select("token"), "lists"), "token", "left_semi"), "postings")
     x = rest.select("token", F.col("doc").alias("a"), F.col("size").alias("sa"), F.col("component").alias("ca"))
     y = rest.select("token", F.col("doc").alias("b"), F.col("size").alias("sb"), F.col("component").alias("cb"))
     na, nb = F.floor(F.col("sa") / _PACK), F.floor(F.col("sb") / _PACK)
@@ -263,10 +278,11 @@ def similar_documents(docs: DataFrame, width: int = 5, percent: int = 80) -> Dat
         met.groupBy("a", "b").agg(F.count("*").alias("k"), F.first(F.least(F.col("sa") % _PACK, F.col("sb") % _PACK)).alias("l"))
         .filter("k >= l").select("a", "b")
     )
-    pairs = stored(pairs, "pairs")
-    sets = stored(_sets(docs, pairs, width), "sets")
-    more = stored(_linked(pairs, sets, percent), "links")
-    whole = components(links.union(more)).withColumnRenamed("node", "class").withColumnRenamed("component", "c")
+    more = stored(_linked(stored(pairs, "pairs"), sets, percent), "links")
+    # Links hold the first document of a class in some task: named by class now.
+    of = member.select(F.col("doc_id").alias("a"), F.col("class").alias("ca")).distinct()
+    named_ = links.union(more).join(of, "a").join(of.toDF("b", "cb"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+    whole = components(named_).withColumnRenamed("node", "class").withColumnRenamed("component", "c")
     return member.join(whole, "class", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("c", "class").alias("component_id")
     )
