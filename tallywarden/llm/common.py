@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tallywarden.session import shared_dir
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
+def stored(df: DataFrame, label: str, release: bool = True) -> DataFrame:
     """``df`` written to the shared folder and read back: computed once, and
     safe from the loss of any executor."""
     spark = df.sparkSession
@@ -21,9 +21,11 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     df.write.parquet(path)
     # Spark deletes shuffle files when their plan is garbage; the plan of a step
     # that is written is, and a collection now keeps disk use to one step.
+    # Steps over a few ids or links can do without.
     del df
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    if release:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
     out = spark.read.schema(schema).parquet(path)
     out.scratch = path
     return out

@@ -21,6 +21,7 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
         .distinct(),
         "edges",
+        release=False,
     )
     before = None
     for _ in range(max_rounds):
@@ -40,6 +41,7 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
             .filter("u != v")
             .distinct(),
             "edges",
+            release=False,
         )
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
