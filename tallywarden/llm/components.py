@@ -8,13 +8,16 @@ from pyspark.sql import functions as F
 from tallywarden.llm.common import stored
 
 
-def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame, rounds: int | None = None, max_rounds: int = 60) -> DataFrame:
     """``node`` and ``component`` (its smallest reachable node) for every node of
     the links (``a``, ``b``), by alternating large-star and small-star rounds.
 
     Each round hangs neighbours under the smallest one they have in common, so
     rounds grow with the logarithm of a component's diameter. A node's smallest
     neighbour is an aggregate joined back to its links, never a group.
+
+    With ``rounds`` no more than that many are made: nodes of one component may
+    then have different names, but a name is never shared by two components.
     """
     edges = stored(
         links.filter("a != b")
@@ -24,7 +27,7 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         release=False,
     )
     before = None
-    for _ in range(max_rounds):
+    for turn in range(max_rounds):
         # Large star: every larger neighbour of u goes under u's smallest one.
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -43,6 +46,10 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
             "edges",
             release=False,
         )
+        if rounds is not None:
+            if turn + 1 == rounds:
+                break
+            continue
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break

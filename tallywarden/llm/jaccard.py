@@ -259,7 +259,11 @@ def similar_documents(docs: DataFrame, width: int = 5, percent: int = 80) -> Dat
         pairs = best.select(F.least("doc", "best.centre").alias("a"), F.greatest("doc", "best.centre").alias("b"))
         found = stored(_linked(pairs.distinct(), sets, percent), "links")
         links = found if links is None else links.union(found)
-        near = stored(components(links).withColumnRenamed("node", "doc"), "components")
+        # Two rounds name nearly all of a star alike; what they miss is left to pairs.
+        near = components(links, rounds=2).withColumnRenamed("node", "doc").groupBy("doc").agg(
+            F.min("component").alias("component")
+        )
+        near = stored(near, "components")
         kept = current.drop("component", "centre", "its").join(near, "doc", "left")
         current = stored(kept.withColumn("component", F.coalesce("component", "doc")), "postings")
         if found.isEmpty():
