@@ -31,6 +31,25 @@ def stored(df: DataFrame, label: str, release: bool = True) -> DataFrame:
     return out
 
 
+def bucketed(df: DataFrame, key: str, label: str) -> DataFrame:
+    """``df`` written to the shared folder in buckets of ``key``: joins on it read
+    it as it lies, whatever their number. Give it to ``drop_bucketed`` at the end."""
+    spark, n = df.sparkSession, parts(df.sparkSession)
+    name = f"{label}_{uuid.uuid4().hex[:12]}"
+    path = f"{shared_dir(spark)}/{name}"
+    df.repartition(n, key).write.bucketBy(n, key).sortBy(key).option("path", path).saveAsTable(name)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    out = spark.table(name)
+    out.scratch, out.name = path, name
+    return out
+
+
+def drop_bucketed(df: DataFrame) -> None:
+    df.sparkSession.sql(f"DROP TABLE {df.name}")
+    discard(df)
+
+
 def discard(*tables: DataFrame) -> None:
     """Removes tables made by ``stored`` that no later step reads."""
     for df in tables:

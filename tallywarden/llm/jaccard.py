@@ -29,7 +29,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallywarden.llm.common import blocks, discard, stored, summed_arrays
+from tallywarden.llm.common import blocks, bucketed, discard, drop_bucketed, stored, summed_arrays
 from tallywarden.llm.components import components
 from tallywarden.llm.suffixes import Powers, mixed
 
@@ -194,8 +194,13 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 good.append(100 * both >= percent * (len(x) + len(y) - both))
             yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
+    # The sets lie in buckets, so only pairs move. One document may stand in very
+    # many pairs, as a centre does: its set is joined from a table of its own,
+    # both sides dealt out, which Spark can split.
     with_b = pairs.join(sets.select(F.col("doc").alias("b"), F.col("shingles").alias("y")), "b")
-    with_a = with_b.join(sets.select(F.col("doc").alias("a"), F.col("shingles").alias("x")), "a")
+    firsts = sets.join(pairs.select(F.col("a").alias("doc")).distinct(), "doc", "left_semi")
+    firsts = stored(firsts.select(F.col("doc").alias("a"), F.col("shingles").alias("x")), "sets")
+    with_a = with_b.join(firsts, "a")
     return with_a.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long")
 
 
@@ -235,7 +240,7 @@ def similar_documents(docs: DataFrame, width: int = 5, percent: int = 80) -> Dat
     # A document can have a partner only if enough of its prefix occurs elsewhere.
     facts = named.groupBy("doc").agg(F.count("*").alias("k"), F.first("size").alias("size"), F.avg("df").alias("fame"))
     facts = stored(facts.filter(F.col("k") >= F.col("size") % _PACK).select("doc", "fame"), "facts")
-    sets = stored(_sets(docs, facts.select("doc"), width), "sets")
+    sets = bucketed(_sets(docs, facts.select("doc"), width), "doc", "sets")
     first = named.join(facts, "doc").select("token", "doc", "size", "fame", F.col("doc").alias("component"))
     current = stored(first, "postings")
     discard(named)
@@ -256,8 +261,8 @@ def similar_documents(docs: DataFrame, width: int = 5, percent: int = 80) -> Dat
         )
         enough = shared.filter(F.col("k") >= F.col("size") % _PACK)
         best = enough.groupBy("doc").agg(F.max(F.struct("k", "centre")).alias("best"))
-        pairs = best.select(F.least("doc", "best.centre").alias("a"), F.greatest("doc", "best.centre").alias("b"))
-        found = stored(_linked(pairs.distinct(), sets, percent), "links")
+        pairs = best.select(F.col("best.centre").alias("a"), F.col("doc").alias("b"))
+        found = stored(_linked(stored(pairs.distinct(), "pairs"), sets, percent), "links")
         links = found if links is None else links.union(found)
         # Two rounds name nearly all of a star alike; what they miss is left to pairs.
         near = components(links, rounds=2).withColumnRenamed("node", "doc").groupBy("doc").agg(
@@ -283,6 +288,7 @@ def similar_documents(docs: DataFrame, width: int = 5, percent: int = 80) -> Dat
         .filter("k >= l").select("a", "b")
     )
     more = stored(_linked(stored(pairs, "pairs"), sets, percent), "links")
+    drop_bucketed(sets)
     # Links hold the first document of a class in some task: named by class now.
     of = member.select(F.col("doc_id").alias("a"), F.col("class").alias("ca")).distinct()
     named_ = links.union(more).join(of, "a").join(of.toDF("b", "cb"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
