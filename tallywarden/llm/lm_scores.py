@@ -75,15 +75,14 @@ def _most_frequent(counts: DataFrame, most: int) -> list:
 
 def scores(
     docs: DataFrame, words: int = 2048, hidden: int = 24, per_class: int = 46, head: int = 200_000,
-    share: int = 10, rounds: int = 3, seed: int = 11,
+    rounds: int = 3, seed: int = 11,
 ) -> DataFrame:
     """``doc_id``, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``,
     ``base_score`` and ``score`` of every document.
 
     Rows whose crc32(doc_id) mod 7 is 2 are held out. Counts, vocabulary, output
-    biases and the shares of rare tokens come from all other documents; weights
-    are trained on one in ``share`` of them, whatever their number, in ``rounds``
-    rounds. A null text counts as empty; an empty one is its end token alone.
+    biases, the shares of rare tokens and the weights come from all other
+    documents; each is trained on once, in one of ``rounds`` rounds. A null text counts as empty; an empty one is its end token alone.
     Scores are finite also if there is nothing to learn from. Rows without
     ``doc_id`` are dropped.
     """
@@ -111,7 +110,7 @@ def scores(
         return np.where((ids < 0) | (ids >= model_words), model_words, ids).astype(np.int32)
 
     weights = start(shape, np.append(often[:model_words], max(1, others_n)).astype(np.float64), seed)
-    part = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(share * rounds))
+    part = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(rounds))
     for k in range(rounds):
         now = weights
 

@@ -159,43 +159,57 @@ def score(texts: list[np.ndarray], flat: np.ndarray, shape: Shape, lanes: int =
 def train(
     texts: list[np.ndarray], flat: np.ndarray, shape: Shape, lanes: int = 128, window: int = 24, rate: float = 0.08,
 ) -> np.ndarray:
-    """One pass of truncated back-propagation with AdaGrad steps."""
+    """One pass of truncated back-propagation with AdaGrad steps.
+
+    A window touches few rows of the input table; only those take a step.
+    """
     flat = flat.copy()
     p, k = unpack(flat, shape), shape.hidden
     total = np.full(len(flat), 1e-3, np.float32)
+    in_table, at_rest = unpack(total, shape)[0], total[p[0].size :]
+    grad_flat = np.zeros_like(flat)
+    g, rest, to_rest = unpack(grad_flat, shape), flat[p[0].size :], grad_flat[p[0].size :]
+    back = np.ascontiguousarray(p[1].T)
     side = Lanes(texts, lanes)
     h = np.zeros((len(side.lengths), k), np.float32)
     for places in side.windows(window):
-        grad_flat = np.zeros_like(flat)
-        g = unpack(grad_flat, shape)
-        tape, states = [], []
-        for at in places:
-            before = np.where(side.opens[at, None], np.float32(0), h[: len(at)])
-            h, r, z, n, an = _step(p[0][side.inputs[at]], before, p[1])
-            tape.append((at, before, r, z, n, an))
-            states.append(h)
+        to_rest[:] = 0
+        back[:] = p[1].T
         at = np.concatenate(places)
-        _, dh_all = _outputs(np.concatenate(states), side.targets[at], p, shape, g)
         edges = np.cumsum([0, *(len(x) for x in places)])
+        ids, goes_on = side.inputs[at], (~side.opens[at]).astype(np.float32)[:, None]
+        x = p[0][ids]
+        tape, states, befores = [], np.empty((len(at), k), np.float32), np.empty((len(at), k), np.float32)
+        for lo, hi in zip(edges.tolist(), edges[1:].tolist()):
+            before = np.multiply(h[: hi - lo], goes_on[lo:hi], out=befores[lo:hi])
+            h, *rest_of = _step(x[lo:hi], before, p[1])
+            states[lo:hi] = h
+            tape.append(rest_of)
+        _, dh_all = _outputs(states, side.targets[at], p, shape, g)
+        # All factors that do not wait for later steps, for the whole window at once.
+        r, z, n, an = (np.concatenate(c) for c in zip(*tape))
+        to_n, to_z, to_r = (1 - z) * (1 - n * n), (befores - n) * z * (1 - z), an * r * (1 - r)
         later = np.zeros((0, k), np.float32)
-        dx_all = np.zeros((len(at), 3 * k), np.float32)
-        for s in range(len(places) - 1, -1, -1):
-            where, before, r, z, n, an = tape[s]
-            d = dh_all[edges[s] : edges[s + 1]]
+        dx_all, da_all = np.empty((len(at), 3 * k), np.float32), np.empty((len(at), 3 * k), np.float32)
+        for lo, hi in zip(edges[-2::-1].tolist(), edges[:0:-1].tolist()):
+            d, dx, da = dh_all[lo:hi], dx_all[lo:hi], da_all[lo:hi]
             d[: len(later)] += later
-            dn = d * (1 - z) * (1 - n * n)
-            dz = d * (before - n) * z * (1 - z)
-            dr = dn * an * r * (1 - r)
-            dx_all[edges[s] : edges[s + 1]] = np.concatenate([dr, dz, dn], 1)
-            da = np.concatenate([dr, dz, dn * r], 1)
-            g[1][:] += before.T @ da
-            later = np.where(side.opens[where, None], np.float32(0), d * z + da @ p[1].T)
-        ids = side.inputs[at]
+            np.multiply(d, to_n[lo:hi], out=dx[:, 2 * k :])
+            np.multiply(d, to_z[lo:hi], out=dx[:, k : 2 * k])
+            np.multiply(dx[:, 2 * k :], to_r[lo:hi], out=dx[:, :k])
+            da[:, : 2 * k] = dx[:, : 2 * k]
+            np.multiply(dx[:, 2 * k :], r[lo:hi], out=da[:, 2 * k :])
+            later = (d * z[lo:hi] + da @ back) * goes_on[lo:hi]
+        g[1][:] = befores.T @ da_all
         order = np.argsort(ids, kind="stable")
         first = np.flatnonzero(np.concatenate([[True], np.diff(ids[order]) > 0]))
-        g[0][ids[order[first]]] = np.add.reduceat(dx_all[order], first)
-        grad_flat /= len(places[0])
-        np.clip(grad_flat, -5, 5, out=grad_flat)
-        total += grad_flat * grad_flat
-        flat += rate * grad_flat / np.sqrt(total)
+        rows = ids[order[first]]
+        step = np.clip(np.add.reduceat(dx_all[order], first) / np.float32(len(places[0])), -5, 5)
+        seen = in_table[rows] + step * step
+        in_table[rows] = seen
+        p[0][rows] += rate * step / np.sqrt(seen)
+        to_rest /= len(places[0])
+        np.clip(to_rest, -5, 5, out=to_rest)
+        at_rest += to_rest * to_rest
+        rest += rate * to_rest / np.sqrt(at_rest)
     return flat

@@ -335,6 +335,24 @@ def test_scores_are_probabilities(spark):
     assert np.isfinite(scores(documents(spark, [(2, "a b")])).first().score)
 
 
+def test_every_training_document_trains_the_weights(spark):
+    from tallywarden.llm.lm_scores import scores
+
+    rng = random.Random(4)
+    texts = {i: " ".join(rng.choice("abcdef") for _ in range(30)) for i in range(20)}
+
+    def scored(own):
+        # one task, so that only what is trained on can make a difference
+        df = spark.createDataFrame([(i, t) for i, t in own.items()], "doc_id long, text string").coalesce(1)
+        return {r.doc_id: r.score for r in scores(df).collect()}
+
+    training = [i for i in texts if zlib.crc32(str(i).encode()) % 7 != 2]
+    before, asked = scored(texts), min(set(texts) - set(training))
+    for i in training[:4]:
+        # the same words in another order: the counts stay, the weights do not
+        assert scored(texts | {i: " ".join(sorted(texts[i].split()))})[asked] != before[asked]
+
+
 def test_gradients_of_the_model():
     from tallywarden.llm import recurrent as rn
 
