@@ -233,13 +233,16 @@ def similar_documents(docs: DataFrame, width: int = 5, percent: int = 80) -> Dat
 
     prefixes = stored(_prefixes(docs, width, percent, level, floor), "prefixes")
     postings = prefixes.select(F.explode("tokens").alias("token"), "doc", "size")
-    lists = postings.groupBy("token").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.count("*").alias("df"))
-    lists = stored(lists.filter("low != high").select("token", "df"), "lists")
+    lists = postings.groupBy("token").agg(
+        F.min("doc").alias("low"), F.max("doc").alias("high"), F.count("*").alias("df"), F.min(F.col("size") % _PACK).alias("l")
+    )
+    lists = stored(lists.filter("low != high").select("token", "df", "l"), "lists")
     named = stored(postings.join(lists, "token"), "postings")
     discard(prefixes, lists)
-    # A document can have a partner only if enough of its prefix occurs elsewhere.
-    facts = named.groupBy("doc").agg(F.count("*").alias("k"), F.first("size").alias("size"), F.avg("df").alias("fame"))
-    facts = stored(facts.filter(F.col("k") >= F.col("size") % _PACK).select("doc", "fame"), "facts")
+    # A document can have a partner only if enough of its prefix occurs elsewhere:
+    # as many tokens as the least l in its lists, since a pair shares the min of two.
+    facts = named.groupBy("doc").agg(F.count("*").alias("k"), F.min("l").alias("l"), F.avg("df").alias("fame"))
+    facts = stored(facts.filter("k >= l").select("doc", "fame"), "facts")
     sets = bucketed(_sets(docs, facts.select("doc"), width), "doc", "sets")
     first = named.join(facts, "doc").select("token", "doc", "size", "fame", F.col("doc").alias("component"))
     current = stored(first, "postings")

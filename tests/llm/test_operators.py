@@ -7,6 +7,7 @@ tables, and further columns whose names clash with those used inside.
 import random
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -179,6 +180,29 @@ def test_prefixes_keep_every_link():
             assert len(np.intersect1d(px, py)) >= min(lx, ly)
 
 
+def test_partner_with_a_smaller_l_is_found(spark, monkeypatch):
+    from tallywarden.llm import jaccard
+    from tallywarden.llm.suffixes import Powers
+
+    # Similarity exactly 0.8. One asks for 14 shingles in common and the other for 10,
+    # and the other's own shingles come first in the order, so prefixes share 10.
+    a = " ".join(f"p{i}" for i in range(204))
+    b = a + " " + " ".join(f"q{i}" for i in range(50))
+    x, y = jaccard.shingle_sets([SimpleNamespace(as_py=t.encode) for t in (a, b)], 5, Powers())
+    own = np.setdiff1d(y, x)
+
+    def chosen(s, level, percent, floor):
+        wanted = 14 if len(s) == 200 else 10
+        order = np.argsort(~np.isin(s, own), kind="stable")
+        return s[order[: jaccard.prefix_length(len(s), percent) + wanted - 1]], wanted
+
+    shared = len(np.intersect1d(chosen(x, None, 80, 0)[0], chosen(y, None, 80, 0)[0]))
+    assert (len(x), len(y), shared) == (200, 250, 10)
+    monkeypatch.setattr(jaccard, "adaptive_prefix", chosen)
+    got = jaccard.similar_documents(documents(spark, [(1, a), (2, b), (3, "else")])).collect()
+    assert {r.doc_id: r.component_id for r in got} == {1: 1, 2: 1, 3: 3}
+
+
 def test_components_of_chains(spark):
     from tallywarden.llm.components import components
 
