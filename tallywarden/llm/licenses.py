@@ -1,12 +1,14 @@
 """Licence scans by canonical digests, with DataFrame functions.
 
-A text is brought to a canonical form (case, punctuation, copyright lines and
+A text is brought to a canonical form (case, punctuation, title and copyright lines and
 equivalent spellings) and its digest is joined with the digests of known
 licences. Whole documents are looked up, and single lines as notices.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +19,28 @@ The above copyright notice and this permission notice shall be included in all c
 THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
     "ISC": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
 THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.""",
+    "Unlicense": """This is free and unencumbered software released into the public domain.
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.
+In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.
+For more information, please refer to <https://unlicense.org/>""",
+}
+_BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+{third}THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+KNOWN["BSD-2-Clause"] = _BSD.format(third="")
+KNOWN["BSD-3-Clause"] = _BSD.format(
+    third="3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n"
+)
+# Sha-256 of the canonical form of long texts, as their authors publish them.
+DIGESTS = {
+    "Apache-2.0": "adf220ee02537f83220e088f4488ca0e7557d614fac1cc48967b41d13911d6e0",
+    "GPL-2.0": "efe73660e5476cf0368fc0fc143f624ff9d1b73c4484b14a9969dd20c5786821",
+    "GPL-3.0": "a8cd54d6683aa630f0b8d05d56184ad91dc486756da2df61c94d3e4e8d5ecb68",
+    "LGPL-2.1": "4d55922bdeafabde164d75448bbfb0b474bf952bbb541325364010900acd9891",
+    "LGPL-3.0": "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be",
+    "MPL-2.0": "c2713eb9ffe7cf58eeb67ec5410a54ac745b6fb19c51c595bdfd96f92361166b",
 }
 # One-line notices.
 NOTICES = {
@@ -33,12 +57,17 @@ SPELLINGS = [
     ("merchantable", "merchantability"), ("programme", "program"),
 ]
 _COPYRIGHT = r"(?im)^[\s*#/;-]*(copyright\s*(\(c\)|©|[0-9<\[])|\(c\)|©|all rights reserved)[^\n]*$"
-# Every known text holds one of these stems, so a text without any is none.
-_STEMS = r"(?i)licen[sc]|permission"
+# The line above a licence that names it.
+_TITLE = (
+    r"(?i)^\s*(the )?(mit|isc|((simplified|new|modified|revised) )?bsd( [23][- ]clause)?( \"?(simplified|new|revised|modified)\"?( or \"?(new|revised|modified)\"?)?)?)"
+    r" licen[sc]e( \((mit|isc|expat)\))?[ \t]*:?[ \t]*\r?\n"
+)
+# Every built-in text holds one of these stems, so a text without any is none.
+_STEMS = r"(?i)licen[sc]|permission|redistribution"
 
 
 def canonical(text: Column) -> Column:
-    out = F.regexp_replace(F.lower(F.regexp_replace(text, _COPYRIGHT, "")), r"[^\p{L}\p{N}]+", " ")
+    out = F.regexp_replace(F.lower(F.regexp_replace(F.regexp_replace(text, _TITLE, ""), _COPYRIGHT, "")), r"[^\p{L}\p{N}]+", " ")
     for other, one in SPELLINGS:
         out = F.regexp_replace(out, rf"\b{other}\b", one)
     return F.trim(out)
@@ -46,11 +75,13 @@ def canonical(text: Column) -> Column:
 
 def known_digests(spark: SparkSession) -> DataFrame:
     """``digest``, ``license`` and ``kind`` of the known texts: a few dozen rows."""
-    rows = [(k, "text", v) for k, v in KNOWN.items()] + [(k, "notice", v) for k, vs in NOTICES.items() for v in vs]
+    # Conditions are numbered or bulleted; bullets leave no trace in the canonical form.
+    rows = [(k, "text", x) for k, v in KNOWN.items() for x in dict.fromkeys([v, re.sub(r"(?m)^\d\. ", "* ", v)])] + [(k, "notice", v) for k, vs in NOTICES.items() for v in vs]
     listed = F.array(*[F.struct(F.lit(k).alias("license"), F.lit(kind).alias("kind"), F.lit(v).alias("text")) for k, kind, v in rows])
+    long = F.array(*[F.struct(F.lit(d).alias("digest"), F.lit(k).alias("license"), F.lit("text").alias("kind")) for k, d in DIGESTS.items()])
     return spark.range(1).select(F.explode(listed).alias("x")).select(
         F.sha2(canonical(F.col("x.text")), 256).alias("digest"), "x.license", "x.kind"
-    ).dropDuplicates(["digest"])
+    ).union(spark.range(1).select(F.inline(long))).dropDuplicates(["digest"])
 
 
 def licenses(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
@@ -63,15 +94,16 @@ def licenses(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     the canonical text), ``license`` and ``kind``; it is broadcast, being a list
     kept by hand.
     """
+    stems = _STEMS if known is None else ""  # nothing is known of the words of a caller's texts
     known = known_digests(docs.sparkSession) if known is None else known
     known = F.broadcast(known.select("digest", "license"))
     rows = docs.filter("doc_id IS NOT NULL").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    likely = rows.filter(F.col("text").rlike(_STEMS)).distinct()
+    likely = rows.filter(F.col("text").rlike(stems)).distinct()
     whole = (
         likely.select("doc_id", F.sha2(canonical(F.col("text")), 256).alias("digest")).join(known, "digest")
         .select("doc_id", "license", F.lit(None).cast("string").alias("notice"))
     )
-    lines = likely.select("doc_id", F.explode(F.filter(F.split("text", "\n"), lambda x: x.rlike(_STEMS))).alias("line"))
+    lines = likely.select("doc_id", F.explode(F.filter(F.split("text", "\n"), lambda x: x.rlike(stems))).alias("line"))
     named = (
         lines.select("doc_id", F.sha2(canonical(F.col("line")), 256).alias("digest")).join(known, "digest")
         .select("doc_id", F.lit(None).cast("string").alias("license"), F.col("license").alias("notice"))

@@ -319,6 +319,21 @@ def test_licenses(spark):
     assert licenses(empty(spark)).count() == 0
 
 
+def test_licenses_as_published(spark):
+    from tallywarden.llm.licenses import KNOWN, canonical, licenses
+
+    head = "\n\nCopyright (c) 2020, Me\nAll rights reserved.\n\n"
+    texts = [
+        (1, "MIT License" + head + KNOWN["MIT"]), (2, "The MIT License (MIT)" + head + KNOWN["MIT"]), (3, "ISC License" + head + KNOWN["ISC"]),
+        (4, "BSD 2-Clause License" + head + KNOWN["BSD-2-Clause"]), (5, KNOWN["Unlicense"]), (6, "MIT License\nand more"),
+        (7, 'BSD 3-Clause "New" or "Revised" License' + head + KNOWN["BSD-3-Clause"].replace("\n1. ", "\n* ").replace("\n2. ", "\n* ").replace("\n3. ", "\n* ")),
+    ]
+    got = {r.doc_id: r.license for r in licenses(documents(spark, texts)).collect()}
+    assert got == {1: "MIT", 2: "MIT", 3: "ISC", 4: "BSD-2-Clause", 5: "Unlicense", 6: None, 7: "BSD-3-Clause"}
+    mine = spark.createDataFrame([("Do as you like.",)], "t string").select(F.sha2(canonical(F.col("t")), 256).alias("digest"), F.lit("Mine").alias("license"))
+    assert licenses(documents(spark, [(1, "do as you like")]), mine).first().license == "Mine"
+
+
 # -- 10 --------------------------------------------------------------------
 def test_scores_are_probabilities(spark):
     from tallywarden.llm.lm_scores import scores
