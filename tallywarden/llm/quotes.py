@@ -3,7 +3,9 @@
 Lines that open with ``>`` are quoted, once per mark. Consecutive lines of one
 level are a passage. A passage is looked up, by a digest of its letters and
 digits, among the own texts, paragraphs and lines of earlier messages of the same
-conversation; the latest one is what the message answers.
+conversation; the latest one is what the message answers. A passage that is none
+of these, as a trimmed one, is looked up by its paragraphs and lines; the message
+that holds most of them, the latest on ties, is what is answered.
 """
 
 from __future__ import annotations
@@ -75,27 +77,41 @@ def reply_order(messages: DataFrame) -> DataFrame:
     )
     clean = stored(plain.unionByName(cut), "messages")
 
-    # Only what some passage asks for is looked up.
-    asked = passages.filter("level > 0").select("conv_id", "turn", "id", "level", digest(F.col("content")).alias("key")).filter("key IS NOT NULL")
-    keys = asked.select("conv_id", "key").distinct()
-    units = F.concat(F.array("text"), F.split("text", r"\n\s*\n"), F.split("text", "\n"))
+    # Only what some passage asks for is looked up: the whole of it, its paragraphs and its lines.
+    def digests(x: Column) -> Column:
+        units = F.concat(F.array(x), F.split(x, r"\n\s*\n"), F.split(x, "\n"))
+        return F.array_distinct(F.filter(F.transform(units, digest), lambda k: k.isNotNull()))
+
+    quoted = passages.filter("level > 0")
+    asked = quoted.select("conv_id", "turn", "id", "passage", "level", digest(F.col("content")).alias("key")).filter("key IS NOT NULL")
+    parts = quoted.select("conv_id", "turn", "id", "passage", "level", F.explode(digests(F.col("content"))).alias("key"))
+    keys = parts.select("conv_id", "key").distinct()
     originals = (
         clean.join(keys.select("conv_id").distinct(), "conv_id", "left_semi")
-        .select("conv_id", "turn", F.explode(F.array_distinct(F.transform(units, digest))).alias("key"))
-        .join(keys, ["conv_id", "key"], "left_semi")
-    )
-    events = originals.select("conv_id", "key", "turn", F.col("turn").alias("source"), F.lit(None).cast("string").alias("id"), F.lit(None).cast("int").alias("level")).union(
-        asked.select("conv_id", "key", "turn", F.lit(None).cast("long"), "id", "level")
+        .select("conv_id", "turn", F.explode(digests(F.col("text"))).alias("key"))
+        .join(keys, ["conv_id", "key"], "left_semi").distinct()
     )
+    originals = stored(originals, "originals")
+    events = originals.select(
+        "conv_id", "key", "turn", F.col("turn").alias("source"), F.lit(None).cast("string").alias("id"), F.lit(None).cast("long").alias("passage"), F.lit(None).cast("int").alias("level")
+    ).union(asked.select("conv_id", "key", "turn", F.lit(None).cast("long"), "id", "passage", "level"))
     # Latest original before: a running maximum in blocks of turns. Within a turn
     # the asking rows come first, so a message never answers its own turn.
     found = running(
         events, ["conv_id", "key"], ["turn", F.col("source").isNotNull()], F.floor(F.col("turn") / 4096),
         F.col("source"), "match", "max",
     ).filter("id IS NOT NULL AND match < turn")
-    parents = found.groupBy("id").agg(F.min(F.struct("level", (-F.col("match")).alias("back"))).alias("best")).select(
-        "id", (-F.col("best.back")).alias("parent_turn")
+    found = stored(found.select("id", "passage", "level", "match"), "found")
+    # A trimmed passage is nowhere whole: the message that holds most of its parts.
+    held = (
+        parts.join(found, ["id", "passage"], "left_anti").join(originals.withColumnRenamed("turn", "match"), ["conv_id", "key"])
+        .filter("match < turn").groupBy("id", "passage", "level", "match").agg(F.count("*").alias("n"))
+    )
+    whole = found.withColumn("n", F.lit(2**62).cast("long")).select("id", "level", "n", "match")
+    best = whole.union(held.select("id", "level", "n", "match")).groupBy("id").agg(
+        F.max(F.struct((-F.col("level")).alias("shallow"), "n", "match")).alias("best")
     )
+    parents = best.select("id", F.col("best.match").alias("parent_turn"))
     clean = stored(clean.join(parents, "id", "left"), "linked")
 
     # Threads by pointer doubling over the answers alone.

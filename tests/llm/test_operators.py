@@ -237,6 +237,19 @@ def test_replies_are_ordered_without_quotes(spark):
     assert reply_order(df.limit(0)).count() == 0
 
 
+def test_trimmed_quotations_find_their_message(spark):
+    from tallywarden.llm.quotes import reply_order
+
+    rows = [
+        (1, 0, "u", "A1\nA2\nB1"), (1, 1, "a", "> A1\n> A2\ntrimmed"),
+        (1, 2, "u", "P one.\n\nP two.\n\nP three."), (1, 3, "a", "> P one.\n>\n> P two.\nparagraphs"),
+        (1, 4, "u", "> A1\nfirst\n> B1\ninterleaved"), (1, 5, "a", "A1\nelse"), (1, 6, "u", "> A1\n> A2\n> gone\nmost parts, not the latest"),
+    ]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {r.turn: r.parent_turn for r in reply_order(df).collect()}
+    assert got == {0: None, 1: 0, 2: None, 3: 2, 4: 0, 5: None, 6: 0}
+
+
 # -- 7 ---------------------------------------------------------------------
 def test_packing_round_trip(spark):
     import public_tokenizers
