@@ -180,7 +180,7 @@ def _(spark, sf):
         WHERE status IS NULL AND priority IS NULL AND amount IS NULL ORDER BY row_idx LIMIT 25""",
 )
 def _(spark, sf):
-    return cl.dropped_empty_log(sparse_orders(spark, sf), "row_idx")
+    return cl.dropped_empty_log(sparse_orders(spark, sf), "row_idx", limit=25)
 
 
 @query(
@@ -248,7 +248,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     df = table(spark, sf, "documents").select(F.col("doc_id").alias("row_idx"), "text", "lang")
-    return cl.duplicate_log(df, "row_idx")
+    return cl.duplicate_log(df, "row_idx", limit=25)
 
 
 @query(

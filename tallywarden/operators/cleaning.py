@@ -100,8 +100,8 @@ def drop_incomplete_rows(df: DataFrame, columns: list[str] | None = None) -> Dat
     return df.na.drop("any", subset=columns or df.columns)
 
 
-def dropped_empty_log(df: DataFrame, row_idx: str, limit: int | None = 25) -> DataFrame:
-    """First dropped rows with their index and the reason."""
+def dropped_empty_log(df: DataFrame, row_idx: str, limit: int | None = None) -> DataFrame:
+    """Dropped rows with their index and the reason, the first ``limit`` if given."""
     data = [c for c in df.columns if c != row_idx]
     empty = df.filter(reduce(lambda a, b: a & b, _nulls(df, data))).select(
         F.col(row_idx), F.lit("Row completely empty").alias("reason")
@@ -138,7 +138,7 @@ def first_of_duplicates(df: DataFrame, row_idx: str, within: list[str] | None =
     return df.groupBy(*[F.col(f"`{c}`") for c in keys]).agg(F.min(row_idx).alias(row_idx))
 
 
-def duplicate_log(df: DataFrame, row_idx: str, limit: int | None = 25) -> DataFrame:
+def duplicate_log(df: DataFrame, row_idx: str, limit: int | None = None) -> DataFrame:
     kept = first_of_duplicates(df, row_idx).select(row_idx)
     log = df.select(row_idx).join(kept, row_idx, "left_anti").select(
         row_idx, F.lit("Duplicate row").alias("reason")

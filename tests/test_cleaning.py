@@ -104,3 +104,12 @@ def test_chunk_scoped_duplicates(spark):
         [(0, 0, "a"), (1, 0, "a"), (2, 1, "a"), (3, 1, None)], "i long, chunk long, x string"
     )
     assert rows(clean_chunks(df, "i", "chunk"), "i") == [(0,), (2,)]
+
+
+def test_logs_are_whole_by_default(spark):
+    from tallywarden.operators import cleaning as cl
+
+    df = spark.range(40).selectExpr("id AS row_idx", "CAST(NULL AS string) AS a")
+    assert cl.dropped_empty_log(df, "row_idx").count() == 40
+    assert cl.duplicate_log(df, "row_idx").count() == 39
+    assert cl.duplicate_log(df, "row_idx", limit=25).count() == 25
