@@ -179,3 +179,97 @@ def license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses(table(spark, sf_dir, "documents")).select(
         "doc_id", "license", F.array_join("notices", ",").alias("notices"), "n_notices"
     )
+
+
+@query("op11_hash_tree_sharding")
+def hash_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Law ``key``: 4 regions of 2 racks of 2 shards; the grown tree has a third
+    shard in the first rack."""
+    from tallywarden.llm.sharding import Shard, Tree, sharded
+
+    tree = Tree.even(4, 2, 2)
+    out = sharded(table(spark, sf_dir, "documents"), tree, tree.grown([Shard(0, 0, 16)]))
+    return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+
+
+def _draws(names: list[tuple[str, float]]) -> str:
+    """SQL: the place of the largest weighted draw, ties to the first."""
+    draws = ", ".join(
+        f"ln((CAST(CAST('0x' || substr(md5(k || '|{name}'), 1, 13) AS BIGINT) AS DOUBLE) + 0.5) / 4503599627370496.0) / {weight:.1f}"
+        for name, weight in names
+    )
+    return f"list_position([{draws}], list_max([{draws}])) - 1"
+
+
+# crc32 over the bytes of a text: eight halvings of each byte, by a table made of the rule.
+_CRC32 = """
+crc_table AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i,
+  list_reduce([CAST(i AS UINTEGER)] || list_transform(range(0, 8), lambda k: CAST(0 AS UINTEGER)),
+    lambda a, b: CASE WHEN (a & 1) = 1 THEN xor(a >> 1, CAST(3988292384 AS UINTEGER)) ELSE a >> 1 END) AS c
+  FROM (SELECT unnest(range(0, 256)) AS i)))"""
+
+
+def _crc32(text: str) -> str:
+    """SQL: unsigned crc32 of the UTF-8 bytes of a text, with ``t`` the table."""
+    codes = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda x: CAST('0x' || x AS UINTEGER))"
+    step = "lambda a, b: xor(a >> 8, t[CAST(xor(a & 255, b) AS INTEGER) + 1])"
+    return f"CAST(xor(list_reduce([CAST(4294967295 AS UINTEGER)] || {codes}, {step}), CAST(4294967295 AS UINTEGER)) AS BIGINT)"
+
+
+_REGIONS = [(f"/0.{r}", 4.0) for r in range(4)]
+ORACLE["op11_hash_tree_sharding"] = f"""
+WITH {_CRC32},
+d AS (SELECT doc_id, coalesce(CAST(doc_id AS VARCHAR), '') AS k, octet_length(encode(coalesce(text, ''))) + 1 AS size,
+  {_crc32("coalesce(text, '')")} AS text_crc32 FROM documents, crc_table),
+r AS (SELECT *, {_draws(_REGIONS)} AS region, {_draws([*_REGIONS, ("/1.0", 1.0)])} AS grown_region FROM d),
+s AS (SELECT *, CASE region {" ".join(f"WHEN {r} THEN {_draws([(f'/0.{r}/{c}', 2.0) for c in range(2)])}" for r in range(4))} END AS rack FROM r),
+p AS (SELECT *, 4 * region + 2 * rack + CASE 2 * region + rack {" ".join(
+  f"WHEN {2 * r + c} THEN {_draws([(f'/0.{r}/{c}/{4 * r + 2 * c + x}', 1.0) for x in range(2)])}" for r in range(4) for c in range(2))} END AS shard FROM s)
+SELECT doc_id, CAST(size AS BIGINT) AS size, text_crc32, 'key' AS law, CAST(shard AS INTEGER) AS shard,
+  row_number() OVER (PARTITION BY shard ORDER BY substr(md5(k || '|' || text_crc32), 1, 3), doc_id NULLS FIRST, size, text_crc32) - 1 AS slot,
+  CAST(CASE WHEN grown_region = 4 THEN 16 ELSE shard END AS INTEGER) AS grown_shard
+FROM p
+"""
+
+
+@query("op12_ranked_lexical_search")
+def ranked_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallywarden.llm.lexical import search
+
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+_TERMS = "coalesce(regexp_extract_all(translate({t}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+'), [])"
+ORACLE["op12_ranked_lexical_search"] = f"""
+WITH d AS (SELECT DISTINCT doc_id, {_TERMS.format(t="text")} AS ts FROM documents WHERE doc_id IS NOT NULL),
+q AS (SELECT DISTINCT item_id, unnest({_TERMS.format(t="text")}) AS term FROM benchmark WHERE item_id IS NOT NULL),
+total AS (SELECT count(*) AS nn, CAST(sum(len(ts)) AS BIGINT) AS ll FROM d WHERE len(ts) > 0),
+occ AS (SELECT doc_id, len(ts) AS n, unnest(ts) AS term FROM d),
+tf AS (SELECT doc_id, n, term, count(*) AS tf FROM occ WHERE term IN (SELECT term FROM q) GROUP BY doc_id, n, term),
+df AS (SELECT term, CAST(floor(1000 * ln((2 * max(nn) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, total GROUP BY term),
+scored AS (
+  SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + ((90 * n * nn) // ll))))) AS BIGINT) AS score
+  FROM q JOIN tf USING (term) JOIN df USING (term), total GROUP BY item_id, doc_id),
+ranked AS (
+  SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+  FROM scored WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
+
+
+@query("op13_periodic_runs")
+def periodic_run_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallywarden.llm.periodic import periodic_runs, replanted
+
+    docs = table(spark, sf_dir, "documents")
+    docs = docs.select("doc_id", replanted(F.col("doc_id"), F.col("text")).alias("text"))
+    # The longest run; ties: smallest start, then period.
+    longest = F.array_min(F.transform("runs", lambda r: F.struct(-r["length"], r["start"], r["period"])))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return periodic_runs(docs).withColumn("best", longest).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"),
+        F.col("best.start").alias("start"), (-F.col("best.col1")).alias("length"), F.col("best.period").alias("period"),
+        F.floor(F.lit(1000) * -F.col("best.col1") / F.col("best.period")).cast("long").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, "").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
