@@ -93,7 +93,29 @@ def _(spark, sf):
 
 @query("j13_verdicts_large_book", f"WITH {BROKEN} SELECT transaction_id, rule_id FROM broken")
 def _(spark, sf):
-    return broken(spark, sf, compiled_rules=0, salts=16)
+    return broken(spark, sf, compiled_rules=0)
+
+
+@query(
+    "j13_verdicts_rule_index",
+    f"""WITH {TX}, book AS (SELECT 'C' || c_custkey AS rule_id, c_custkey AS v, 'eq' AS op FROM customer WHERE c_acctbal < 2000
+           UNION ALL SELECT 'B' || c_custkey, 400000 + c_acctbal * 10, 'gt' FROM customer WHERE c_custkey % 10 = 0)
+        SELECT transaction_id, rule_id FROM tx JOIN book ON op = 'eq' AND customer_id = v
+        UNION ALL SELECT transaction_id, rule_id FROM tx JOIN book ON op = 'gt' AND amount > v""",
+)
+def _(spark, sf):
+    """A rule per customer with little money, and a bound per tenth customer."""
+    c = table(spark, sf, "customer")
+    key = F.col("c_custkey").cast("string")
+    listed = c.filter("c_acctbal < 2000").select(
+        F.concat(F.lit("C"), key).alias("rule_id"), F.lit("customer_id").alias("condition_field"),
+        F.lit("eq").alias("condition_operator"), key.alias("condition_value"),
+    )
+    bounds = c.filter("c_custkey % 10 = 0").select(
+        F.concat(F.lit("B"), key).alias("rule_id"), F.lit("amount").alias("condition_field"),
+        F.lit("gt").alias("condition_operator"), (400000 + F.col("c_acctbal") * 10).cast("string").alias("condition_value"),
+    )
+    return evaluate.violations(transactions(spark, sf), listed.unionAll(bounds), ["transaction_id"], compiled_rules=64)
 
 
 OPS = [
@@ -178,9 +200,20 @@ def _(spark, sf):
           round(100.0 * (n - v) / n, 2) AS compliance_rate FROM v, (SELECT count(*) AS n FROM tx)""",
 )
 def _(spark, sf):
-    return summary.compliance_summary(
-        transactions(spark, sf), broken(spark, sf), ["transaction_id"]
-    )
+    return summary.compliance_summary(evaluate.flagged(transactions(spark, sf), book(spark)))
+
+
+@query(
+    "a13_compliance_rate_of_repeated_rows",
+    f"""WITH {BROKEN}, v AS (SELECT 3 * count(DISTINCT transaction_id) AS v FROM broken)
+        SELECT 3 * n AS total_rows, v AS violation_count, 3 * n - v AS compliant_count,
+          round(100.0 * (3 * n - v) / (3 * n), 2) AS compliance_rate FROM v, (SELECT count(*) AS n FROM tx)""",
+)
+def _(spark, sf):
+    """Each transaction twice and once without its id, by the index of rules."""
+    tx = transactions(spark, sf)
+    rows = tx.unionAll(tx).unionAll(tx.withColumn("transaction_id", F.lit(None).cast("long")))
+    return summary.compliance_summary(evaluate.flagged(rows, book(spark), compiled_rules=0))
 
 
 EVENT_STATUS = """ev AS (SELECT event_id, user_id, value, CASE event_type WHEN 'error' THEN 'violation' WHEN 'click' THEN 'Needs_Review'

@@ -170,6 +170,24 @@ def _(spark, sf):
     return rg.upsert(o.drop("o_custkey"), new.unionAll(without), "o_orderkey", F.col("at")).drop("at")
 
 
+@query(
+    "j10_upsert_unordered",
+    """SELECT coalesce(o_orderkey, k) AS o_orderkey, CASE WHEN k IS NOT NULL THEN s ELSE o_orderstatus END AS o_orderstatus
+       FROM orders FULL JOIN (SELECT o_orderkey AS k, 'X' AS s FROM orders WHERE o_totalprice >= 400000
+         UNION ALL SELECT -o_orderkey - 1, 'Y' FROM orders WHERE o_orderstatus = 'F') ON o_orderkey = k""",
+)
+def _(spark, sf):
+    """New rows without a date: alone they count, beside a dated one they lose."""
+    o = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderdate")
+    dated = o.filter("o_totalprice >= 400000").withColumn("o_orderstatus", F.lit("X"))
+    undated = dated.withColumns({"o_orderstatus": F.lit("stale"), "o_orderdate": F.lit(None).cast(o.schema["o_orderdate"].dataType)})
+    alone = o.filter("o_orderstatus = 'F'").withColumns(
+        {"o_orderkey": -F.col("o_orderkey") - 1, "o_orderstatus": F.lit("Y"), "o_orderdate": F.lit(None).cast(o.schema["o_orderdate"].dataType)}
+    )
+    new = dated.unionAll(undated).unionAll(alone).select("o_orderkey", "o_orderstatus", "o_orderdate")
+    return rg.upsert(o.select("o_orderkey", "o_orderstatus"), new, "o_orderkey", F.col("o_orderdate")).drop("o_orderdate")
+
+
 @query(
     "j11_order_gate",
     f"""WITH {RULES} SELECT rule_id, EXISTS (SELECT 1 FROM rules WHERE source_document_type = 'master_direction') AS admitted,

@@ -19,6 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallywarden.operators.ordering import null_safe_join
 from tallywarden.session import cut_lineage
 
 
@@ -110,7 +111,7 @@ def greedy_bins(
     long_keys = sizes.filter(F.col("__last") >= block_size).select(key)
 
     packed = (
-        slim.join(short_keys, key, "left_semi")
+        null_safe_join(slim, short_keys, [key], "left_semi")
         .groupBy(key)
         .agg(F.array_sort(F.collect_list(F.struct("__pos", "__w"))).alias("__items"))
         .withColumn("__weights", F.col("__items.__w"))
@@ -125,9 +126,9 @@ def greedy_bins(
     ).select(key, F.col("__item.__pos").alias("__pos"), out)
 
     if long_keys.isEmpty():
-        return df.join(short.withColumnRenamed("__pos", order), [key, order])
+        return null_safe_join(df, short.withColumnRenamed("__pos", order), [key, order], "inner")
 
-    long_items = slim.join(long_keys, key, "left_semi").withColumn(
+    long_items = null_safe_join(slim, long_keys, [key], "left_semi").withColumn(
         "__block", F.floor(F.col("__pos") / F.lit(block_size))
     )
     key_type = df.schema[key].dataType.simpleString()
@@ -190,9 +191,9 @@ def greedy_bins(
         return pd.DataFrame({key: part[key], "__pos": part["__pos"], out: numbers})
 
     long = (
-        long_items.join(entries, [key, "__block"])
+        null_safe_join(long_items, entries, [key, "__block"], "inner")
         .groupBy(key, "__block")
         .applyInPandas(pack, f"{key} {key_type}, __pos long, {out} long")
     )
     numbered = short.unionByName(long).withColumnRenamed("__pos", order)
-    return df.join(numbered, [key, order])
+    return null_safe_join(df, numbered, [key, order], "inner")

@@ -73,12 +73,13 @@ def order_gate(documents: DataFrame, registry: DataFrame, kind: str = "source_do
 
 
 def latest_per_key(df: DataFrame, key: str, order: Column) -> DataFrame:
-    """The last row per key; rows without a key are left out."""
+    """The last row per key; rows without a key are left out. A row whose order is
+    null counts as earlier than any other."""
     rest = [c for c in df.columns if c != key]
     return (
         df.filter(F.col(key).isNotNull() & (F.col(key).cast("string") != ""))
         .groupBy(key)
-        .agg(F.max_by(F.struct(*rest), order).alias("r"))
+        .agg(F.max_by(F.struct(*rest), F.struct(order.isNotNull(), order)).alias("r"))
         .select(key, "r.*")
     )
 

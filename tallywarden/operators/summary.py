@@ -90,16 +90,12 @@ def compliance_rate(total: Column, violated: Column, digits: int = 2) -> Column:
     return F.round(F.coalesce(rate, F.lit(100.0)), digits)
 
 
-def compliance_summary(tx: DataFrame, broken: DataFrame, key: list[str]) -> DataFrame:
-    """total, violated and compliant rows and the rate.
-
-    A left outer join on the transaction key is not needed: the rows with a
-    violation are counted as distinct keys.
-    """
-    bad = broken.select(*key).distinct().agg(F.count("*").alias("violation_count"))
+def compliance_summary(flagged: DataFrame, flag: str = "violated") -> DataFrame:
+    """total, violated and compliant rows and the rate, of transaction rows that
+    say whether they break any rule (``evaluate.flagged``). Rows are counted, not
+    keys: repeated and null keys count as often as they stand there."""
     return (
-        tx.agg(F.count("*").alias("total_rows"))
-        .withColumn("violation_count", bad.scalar())
+        flagged.agg(F.count("*").alias("total_rows"), F.count_if(F.col(flag)).alias("violation_count"))
         .withColumn("compliant_count", F.col("total_rows") - F.col("violation_count"))
         .withColumn("compliance_rate", compliance_rate(F.col("total_rows"), F.col("violation_count")))
     )

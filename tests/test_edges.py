@@ -23,18 +23,72 @@ def test_conditions_do_not_depend_on_the_number_of_rules(spark):
         (f"{field}-{op}-{value}", field, op, value)
         for field in ("f", "d", "m", "b", "day", "s")
         for op in ("gt", "gte", "lt", "lte", "eq", "neq", "in", "not_in", "missing", "contains")
-        for value in ("0.1", "5", "true", "2024-01-02", "x", "NaN")
-    ]
+        for value in ("0.1", "5", "true", "2024-01-02", "x", "NaN", "٥", " 5", "5, ٥, x", None)
+    ] + [(None, "d", "gt", "1")]
     frame = spark.createDataFrame(book, "rule_id string, condition_field string, condition_operator string, condition_value string")
     compiled = {tuple(r) for r in evaluate.violations(tx, frame, ["id"], compiled_rules=10_000).collect()}
     joined = {tuple(r) for r in evaluate.violations(tx, frame, ["id"], compiled_rules=1).collect()}
-    assert compiled == joined
+    assert compiled == joined and not any(name is None for _, name in joined)
+    for number in (10_000, 1):
+        told = {r.id: r.violated for r in evaluate.flagged(tx, frame, compiled_rules=number).collect()}
+        assert told == {i: any(j == i for j, _ in joined) for i in (1, 2, 3)}
     for name in ("f-lte-0.1", "f-eq-0.1", "m-eq-0.1", "s-eq-0.1", "b-eq-true", "day-eq-2024-01-02"):
         assert (1, name) in joined, name
     assert (1, "d-gt-5") not in joined and (1, "d-lt-5") not in joined
     assert (2, "f-gt-5") in joined and (2, "d-lt-0.1") in joined and (3, "s-in-x") in joined
 
 
+def test_many_rules_on_one_field(spark, monkeypatch):
+    import bisect
+
+    bounds = [(f"g{i}", "amount", "gt", str(10 * i)) for i in range(60_000)]
+    others = [(f"n{i}", "name", "not_in", f"a{i}, b") for i in range(50)] + [(f"e{i}", "name", "eq", f"a{i}") for i in range(40_000)]
+    rules = spark.createDataFrame(bounds + others, "rule_id string, condition_field string, condition_operator string, condition_value string")
+    rows = [(1, 5.0, "a7"), (2, 101.0, "b"), (3, None, None), (4, -3.0, "zz"), (4, 600.0, "a39999"), (None, 30.0, "")]
+    tx = spark.createDataFrame(rows, "id long, amount double, name string")
+    steps = [10 * i for i in range(60_000)]
+    want = []
+    for i, amount, name in rows:
+        if amount is not None:
+            want += [(i, f"g{k}") for k in range(bisect.bisect_left(steps, amount))]
+        if name is not None:
+            want += [(i, f"n{k}") for k in range(50) if name not in (f"a{k}", "b")]
+            want += [(i, name.replace("a", "e"))] if name.startswith("a") else []
+    order = lambda x: (x[0] is None, x[0] or 0, x[1])
+    for size in (1_000_000, 40_000):  # one index, several
+        monkeypatch.setattr(evaluate, "INDEXED_RULES", size)
+        got = evaluate.violations(tx, rules, ["id"])
+        assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+        assert sorted(map(tuple, got.collect()), key=order) == sorted(want, key=order)
+        assert summary.compliance_summary(evaluate.flagged(tx, rules)).first().violation_count == 5
+
+
+def test_rate_counts_rows_not_keys(spark):
+    tx = spark.createDataFrame([(1, 9.0), (1, 9.0), (None, 9.0), (None, 9.0)], "id long, amount double")
+    rules = spark.createDataFrame([("r", "amount", "gt", "5")], "rule_id string, condition_field string, condition_operator string, condition_value string")
+    got = summary.compliance_summary(evaluate.flagged(tx, rules)).first()
+    assert (got.total_rows, got.violation_count, got.compliance_rate) == (4, 4, 0.0)
+
+
+def test_upsert_of_rows_without_order(spark):
+    old = spark.createDataFrame([("k1", "old"), ("k2", "keep")], "k string, v string")
+    new = spark.createDataFrame([("k1", "new", None), ("k3", "n3", None), ("k4", "late", 2), ("k4", "none", None)], "k string, v string, at int")
+    got = registry.upsert(old, new, "k", F.col("at")).drop("at").collect()
+    assert sorted(map(tuple, got)) == [("k1", "new"), ("k2", "keep"), ("k3", "n3"), ("k4", "late")]
+
+
+def test_bins_of_a_null_key(spark):
+    from tallywarden.operators.packing import greedy_bins
+
+    rows = [(k, i, w) for k in ("a", None) for i, w in enumerate([5, 5, 3, 9, 1, 1, 12, 2])]
+    df = spark.createDataFrame(rows, "k string, i long, w long")
+    want = [(i, b) for i, b in enumerate([0, 0, 1, 2, 2, 3, 4, 5])]
+    for block in (100, 3):
+        got = greedy_bins(df, "k", "i", "w", 10, block_size=block).collect()
+        for key in ("a", None):
+            assert sorted((r.i, r.batch_no) for r in got if r.k == key) == want
+
+
 def test_ids_of_rows_are_whole(spark):
     df = spark.range(99_998, 100_002).selectExpr(
         "id AS place", "CAST(NULL AS string) AS id", "CAST(NULL AS string) AS transactionId", "'1' AS amount",
