@@ -47,6 +47,11 @@ def batch_capacity(provider: str) -> int:
     return PROVIDER_TOKENS.get(provider, OTHER_PROVIDER_TOKENS) - PROMPT_TOKENS - ANSWER_TOKENS
 
 
+def is_readable(text: Column, min_chars: int = 80) -> Column:
+    """Whether a page has enough text."""
+    return F.coalesce(F.length(strip(text)) >= min_chars, F.lit(False))
+
+
 def readable_pages(df: DataFrame, text: str, min_chars: int = 80) -> DataFrame:
     """Pages with enough text; their text is stripped."""
     return df.withColumn(text, strip(F.col(text))).filter(F.length(text) >= min_chars)

@@ -69,38 +69,45 @@ def scan_csv(
     return out.withColumnRenamed("__row_index", row_index) if row_index else out
 
 
-def with_row_index(df: DataFrame, out: str = "row_idx") -> DataFrame:
-    """0-based position of each row, in order of file name and place in the file.
+def with_row_index(df: DataFrame, out: str = "row_idx", per_file: bool = False) -> DataFrame:
+    """0-based position of each row, in order of file name and place in the file;
+    ``per_file`` starts anew in each file and keeps its path in ``__file``.
 
     No sort and no shuffle of the rows: each file split counts its rows, the
     counts (one row per split) are summed up, and a row adds its place within
     its split to the rows before that split.
     """
-    placed = df.select(
-        "*",
-        F.col("_metadata.file_path").alias("__file"),
-        F.col("_metadata.file_block_start").alias("__split"),
-        F.monotonically_increasing_id().alias("__seq"),
-    )
+    if "__file" not in df.columns:
+        df = _placed(df)
+    placed = df.withColumn("__seq", F.monotonically_increasing_id())
     splits = placed.groupBy("__file", "__split").agg(
         F.count("*").alias("__n"), F.min("__seq").alias("__first")
     )
-    before = Window.orderBy("__file", "__split").rowsBetween(Window.unboundedPreceding, -1)
+    order = Window.partitionBy("__file").orderBy("__split") if per_file else Window.orderBy("__file", "__split")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
     base = splits.select(
         "__file", "__split", "__first", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base")
     )
     return (
         placed.join(base, ["__file", "__split"])
         .withColumn(out, F.col("__base") + F.col("__seq") - F.col("__first"))
-        .drop("__file", "__split", "__seq", "__first", "__base")
+        .drop("__split", "__seq", "__first", "__base", *([] if per_file else ["__file"]))
+    )
+
+
+def _placed(df: DataFrame) -> DataFrame:
+    """Rows with the file and the split of it they come from."""
+    return df.select(
+        "*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__split")
     )
 
 
 def stream_csv(
     spark: SparkSession, path: str, schema: T.StructType, files_per_batch: int = 1,
-    multiline: bool = True,
+    multiline: bool = True, placed: bool = False,
 ) -> DataFrame:
-    """The same scan as a stream of micro-batches of files."""
+    """The same scan as a stream of micro-batches of files; ``placed`` adds where in
+    which file a row stands (``__file``, ``__split``)."""
     raw = (
         spark.readStream.schema(_text_schema(schema))
         .option("maxFilesPerTrigger", files_per_batch)
@@ -108,7 +115,7 @@ def stream_csv(
                     for k, v in _csv_options(multiline).items()})
         .csv(path)
     )
-    return _typed(raw, schema)
+    return _typed(_placed(raw) if placed else raw, schema)
 
 
 def read_table(spark: SparkSession, path: str, spread: bool = False) -> DataFrame:
@@ -122,9 +129,24 @@ def read_table(spark: SparkSession, path: str, spread: bool = False) -> DataFram
     return df
 
 
-def store(df: DataFrame, path: str, mode: str = "overwrite", partition_by: list[str] | None = None) -> None:
-    """Replace or append to a Parquet table."""
-    df.write.mode(mode).partitionBy(*(partition_by or [])).parquet(path)
+def store(
+    df: DataFrame, path: str, mode: str = "overwrite", partition_by: list[str] | None = None,
+    replace_partitions: bool = False,
+) -> None:
+    """Replace or append to a Parquet table. ``replace_partitions`` replaces only the
+    partitions that have rows in ``df``: the files of all others stay as they are."""
+    how = "dynamic" if replace_partitions else "static"
+    if replace_partitions and mode != "overwrite":
+        raise ValueError("partitions are replaced by overwriting")
+    df.write.mode(mode).option("partitionOverwriteMode", how).partitionBy(*(partition_by or [])).parquet(path)
+
+
+def upsert_partitions(df: DataFrame, path: str, partition_by: list[str]) -> None:
+    """Puts rows into a table kept by partition, such as the chunks of a document or
+    the verdicts of a day: a partition that comes again takes the place of its former
+    rows, in one commit, and no other partition is read or written. Rows of one
+    partition are written by as many tasks as hold them."""
+    store(df, path, partition_by=partition_by, replace_partitions=True)
 
 
 def read_rule_files(spark: SparkSession, path: str, schema: str, lines: bool = False) -> DataFrame:

@@ -15,63 +15,64 @@ from tallywarden.operators.cleaning import (
     trim_text,
     without_columns,
 )
-from tallywarden.sources.tables import stream_csv
+from tallywarden.operators.ordering import null_safe_join
+from tallywarden.sources.tables import stream_csv, with_row_index
 
 
-# A digest of each stored row as it came: what later batches are compared with.
+# A digest of each stored row as it came: copies in other batches have the same.
 ROW_HASH = "row_hash"
 
 
-def clean_chunks(df: DataFrame, row_idx: str, chunk: str, seen: DataFrame | None = None) -> DataFrame:
-    """Cleaning with duplicates searched within each chunk of rows only: among the
-    rows of ``df``, and against rows ``seen`` before (chunk and row hash)."""
+FILE = "file"
+
+
+def clean_chunks(df: DataFrame, row_idx: str, chunk: list[str]) -> DataFrame:
+    """Cleaning with duplicates searched within each chunk of rows only."""
     bare = without_columns(df)
-    data = [c for c in bare.columns if c not in (row_idx, chunk)]
-    kept = first_of_duplicates(drop_empty_rows(bare, data), row_idx, [chunk])
-    kept = kept.withColumn(ROW_HASH, F.sha2(F.to_json(F.struct(*data)), 256))
-    if seen is not None:
-        kept = kept.join(seen, [chunk, ROW_HASH], "left_anti")
-    return trim_text(kept)
-
-
-def _stored_before(batch: DataFrame, batch_id: int, rows_path: str, chunk: str) -> DataFrame | None:
-    """Chunk and hash of the rows that earlier batches stored for the chunks of
-    this one; a batch that is run again does not see itself."""
-    spark = batch.sparkSession
-    root = spark._jvm.org.apache.hadoop.fs.Path(rows_path)
-    if not root.getFileSystem(spark._jsc.hadoopConfiguration()).exists(root):
-        return None
-    rows = spark.read.parquet(rows_path).filter(F.col("batch_id") < batch_id).select(chunk, ROW_HASH)
-    return rows.join(batch.select(chunk).distinct(), chunk, "left_semi")
-
-
-def _one_batch(rows_path: str, metrics_path: str, row_idx: str, chunk: str) -> Callable:
+    data = [c for c in bare.columns if c not in (row_idx, *chunk)]
+    kept = first_of_duplicates(drop_empty_rows(bare, data), row_idx, chunk)
+    return trim_text(kept.withColumn(ROW_HASH, F.sha2(F.to_json(F.struct(*data)), 256)))
+
+
+def numbered_rows(batch: DataFrame, row_idx: str, chunk: str, chunk_rows: int) -> DataFrame:
+    """Rows of a micro-batch with their file, their position in it from 0, and the
+    chunk of ``chunk_rows`` rows that this position lies in.
+
+    The numbers follow from the file alone, so they are the same whatever files
+    arrive together and in whatever order. Each file split counts its rows, and a
+    row adds its place in the split to the rows of the splits before; no row moves.
+    """
+    numbered = with_row_index(batch, row_idx, per_file=True)
+    return numbered.withColumnRenamed("__file", FILE).withColumn(
+        chunk, F.floor(F.col(row_idx) / F.lit(chunk_rows)).cast("long")
+    )
+
+
+def _one_batch(rows_path: str, metrics_path: str, row_idx: str, chunk: str, chunk_rows: int | None) -> Callable:
+    keys = [FILE, chunk] if chunk_rows else [chunk]
+
     def run(batch: DataFrame, batch_id: int) -> None:
         # Both tables are partitioned by the batch: a batch that is run again
         # after a failure replaces its own rows and nothing else.
         spark = batch.sparkSession
+        rows = numbered_rows(batch, row_idx, chunk, chunk_rows) if chunk_rows else batch.drop("__file", "__split")
         target = f"{rows_path}/batch_id={batch_id}"
-        before = _stored_before(batch, batch_id, rows_path, chunk)
-        clean_chunks(batch, row_idx, chunk, before).write.mode("overwrite").parquet(target)
+        clean_chunks(rows, row_idx, keys).write.mode("overwrite").parquet(target)
         clean = spark.read.parquet(target).drop(ROW_HASH)
-        data = [c for c in clean.columns if c not in (row_idx, chunk)]
-        seen = batch.groupBy(chunk).agg(F.count("*").alias("rows_input"))
-        stored = clean.groupBy(chunk).agg(F.count("*").alias("rows_stored"))
+        data = [c for c in clean.columns if c not in (row_idx, *keys)]
+        seen = rows.groupBy(*keys).agg(F.count("*").alias("rows_input"))
+        stored = clean.groupBy(*keys).agg(F.count("*").alias("rows_stored"))
         failed = (
-            check_report(clean, data, [chunk])
+            check_report(clean, data, keys)
             .filter(F.col("status") == "FAIL")
-            .groupBy(chunk)
+            .groupBy(*keys)
             .agg(F.array_sort(F.collect_list("name")).alias("failed"))
         )
-        metrics = (
-            seen.join(stored, chunk, "left")
-            .join(failed, chunk, "left")
-            .select(
-                chunk,
-                "rows_input",
-                F.coalesce("rows_stored", F.lit(0)).alias("rows_stored"),
-                F.coalesce("failed", F.array().cast("array<string>")).alias("failed"),
-            )
+        metrics = null_safe_join(null_safe_join(seen, stored, keys, "left"), failed, keys, "left").select(
+            *keys,
+            "rows_input",
+            F.coalesce("rows_stored", F.lit(0)).alias("rows_stored"),
+            F.coalesce("failed", F.array().cast("array<string>")).alias("failed"),
         )
         metrics.write.mode("overwrite").parquet(f"{metrics_path}/batch_id={batch_id}")
 
@@ -88,11 +89,18 @@ def ingest(
     row_idx: str,
     chunk: str,
     files_per_batch: int = 16,
+    chunk_rows: int | None = None,
 ) -> None:
-    """Clean all files that are there now and stop; run again for later files."""
-    stream = stream_csv(spark, source, schema, files_per_batch, multiline=False)
+    """Clean all files that are there now and stop; run again for later files.
+
+    With ``chunk_rows`` rows and chunks are numbered per file on arrival and the
+    tables gain a ``file`` column. Without, the files bring both numbers, and a chunk
+    may be spread over files of several batches; ``current_rows`` then decides
+    between the copies of a row, ``metrics`` count what each batch stored.
+    """
+    stream = stream_csv(spark, source, schema, files_per_batch, multiline=False, placed=True)
     query = (
-        stream.writeStream.foreachBatch(_one_batch(rows_path, metrics_path, row_idx, chunk))
+        stream.writeStream.foreachBatch(_one_batch(rows_path, metrics_path, row_idx, chunk, chunk_rows))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
@@ -100,13 +108,28 @@ def ingest(
     query.awaitTermination()
 
 
-def running_totals(metrics: DataFrame) -> DataFrame:
-    """Totals over all chunks so far."""
-    return metrics.agg(
-        F.sum("rows_input").alias("rows_input"),
-        F.sum("rows_stored").alias("rows_stored"),
-        (F.sum("rows_input") - F.sum("rows_stored")).alias("rows_dropped"),
-        F.bool_and(F.size("failed") == 0).alias("compliance_passed"),
+def current_rows(rows: DataFrame, row_idx: str, chunk: str) -> DataFrame:
+    """The rows of all batches with each row of a chunk once: the copy of smallest
+    index, whichever batch brought it."""
+    keys = [c for c in (FILE, chunk) if c in rows.columns]
+    rest = [c for c in rows.columns if c not in (*keys, ROW_HASH, "batch_id")]
+    first = F.min_by(F.struct(*rest), F.col(row_idx)).alias("first")
+    return rows.groupBy(*keys, ROW_HASH).agg(first).select(*keys, "first.*")
+
+
+def running_totals(metrics: DataFrame, current: DataFrame | None = None) -> DataFrame:
+    """Totals over all chunks so far. Where chunks are spread over batches, give the
+    ``current`` rows: a batch cannot know what others store."""
+    stored = F.col("__stored") if current is None else current.agg(F.count("*").alias("n")).scalar()
+    return (
+        metrics.agg(
+            F.sum("rows_input").alias("rows_input"),
+            F.sum("rows_stored").alias("__stored"),
+            F.bool_and(F.size("failed") == 0).alias("compliance_passed"),
+        )
+        .withColumn("rows_stored", stored)
+        .withColumn("rows_dropped", F.col("rows_input") - F.col("rows_stored"))
+        .select("rows_input", "rows_stored", "rows_dropped", "compliance_passed")
     )
 
 

@@ -1,6 +1,7 @@
 """Rows that once gave wrong answers."""
 
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,7 +10,8 @@ from pyspark.sql import types as T
 from tallywarden.functions.html import page_links
 from tallywarden.functions.text import fill_template
 from tallywarden.operators import audit, evaluate, registry, rules, summary
-from tallywarden.sources.tables import scan_csv
+from tallywarden.operators.stages import StageCounts
+from tallywarden.sources.tables import scan_csv, store, upsert_partitions
 from tallywarden.streaming import microbatch
 
 
@@ -170,14 +172,59 @@ def test_csv_columns_go_by_name(spark, tmp_path):
 
 
 @pytest.mark.parametrize("files_per_batch", [1, 16])
-def test_stream_finds_copies_across_batches(spark, tmp_path, files_per_batch):
+def test_stream_keeps_the_first_copy_whatever_the_batches(spark, tmp_path, files_per_batch):
     (tmp_path / "in").mkdir()
-    for k, rows in enumerate(["0,x ,1\n1,y,1\n", "2,x ,1\n3,x,1\n4,x ,2\n"]):
+    for k, rows in enumerate(["5,x ,1\n6,y,1\n", "1,x ,1\n2,z,1\n3,x,1\n4,x ,2\n"]):
         (tmp_path / "in" / f"{k}.csv").write_text("row_idx,a,chunk\n" + rows)
     schema = T.StructType.fromDDL("row_idx long, a string, chunk long")
     paths = [f"{tmp_path}/{d}" for d in ("rows", "metrics", "checkpoint")]
     microbatch.ingest(spark, f"{tmp_path}/in", schema, *paths, "row_idx", "chunk", files_per_batch)
-    rows = spark.read.parquet(paths[0]).collect()
-    assert sorted((r.chunk, r.a) for r in rows) == [(1, "x"), (1, "x"), (1, "y"), (2, "x")]
-    total = microbatch.running_totals(spark.read.parquet(paths[1])).first()
-    assert (total.rows_input, total.rows_stored) == (5, 4)
+    rows = microbatch.current_rows(spark.read.parquet(paths[0]), "row_idx", "chunk")
+    assert sorted((r.chunk, r.row_idx, r.a) for r in rows.collect()) == [(1, 1, "x"), (1, 2, "z"), (1, 3, "x"), (1, 6, "y"), (2, 4, "x")]
+    total = microbatch.running_totals(spark.read.parquet(paths[1]), rows).first()
+    assert (total.rows_input, total.rows_stored, total.rows_dropped) == (6, 5, 1)
+
+
+def test_stream_numbers_rows_and_chunks_on_arrival(spark, tmp_path):
+    files = {f"{name}.csv": [f"{name}{i % 7}" for i in range(n)] for name, n in (("b", 25), ("a", 31), ("c", 1), ("d", 0))}
+    want = set()
+    for name, rows in files.items():
+        for i, a in enumerate(rows):
+            if a not in rows[i - i % 10 : i]:
+                want.add((name, i // 10, i, a))
+    for turn, (per_batch, order) in enumerate([(1, "abcd"), (1, "dcba"), (2, "cabd"), (16, "bdac")]):
+        base = tmp_path / str(turn)
+        (base / "in").mkdir(parents=True)
+        for k, name in enumerate(order):
+            path = base / "in" / f"{name}.csv"
+            path.write_text("a\n" + "".join(f"{a}\n" for a in files[path.name]))
+            os.utime(path, (1_700_000_000 + k, 1_700_000_000 + k))  # the order of arrival
+        paths = [f"{base}/{d}" for d in ("rows", "metrics", "checkpoint")]
+        microbatch.ingest(spark, f"{base}/in", T.StructType.fromDDL("a string"), *paths, "row_idx", "chunk", per_batch, chunk_rows=10)
+        rows = spark.read.parquet(paths[0]).collect()
+        assert {(r.file.split("/")[-1], r.chunk, r.row_idx, r.a) for r in rows} == want and len(rows) == len(want)
+        total = microbatch.running_totals(spark.read.parquet(paths[1])).first()
+        assert (total.rows_input, total.rows_stored, total.compliance_passed) == (57, len(want), True)
+
+
+def test_partitions_are_replaced_one_by_one(spark, tmp_path):
+    path = str(tmp_path / "t")
+    upsert_partitions(spark.createDataFrame([("a", 1), ("b", 2), (None, 3)], "k string, v int"), path, ["k"])
+    files = {p: p.stat().st_mtime_ns for p in (tmp_path / "t").rglob("k=b/*.parquet")}
+    upsert_partitions(spark.createDataFrame([("a", 7), ("c", 8)], "k string, v int"), path, ["k"])
+    got = sorted((r.k or "", r.v) for r in spark.read.parquet(path).collect())
+    assert got == [("", 3), ("a", 7), ("b", 2), ("c", 8)]
+    assert files and all(p.stat().st_mtime_ns == t for p, t in files.items())
+    with pytest.raises(ValueError):
+        store(spark.range(1), path, "append", replace_partitions=True)
+
+
+def test_stage_counts_come_with_the_write(spark, tmp_path):
+    run = StageCounts("r")
+    df = run.counted(spark.range(50), all=F.count(F.lit(1)), even=F.count_if(F.col("id") % 2 == 0))
+    store(df, str(tmp_path / "x"))
+    assert "CollectMetrics" in df._jdf.queryExecution().executedPlan().toString()
+    run.save(spark, str(tmp_path / "runs"))
+    run.save(spark, str(tmp_path / "runs"))
+    got = [tuple(r) for r in spark.read.parquet(str(tmp_path / "runs")).orderBy("place").collect()]
+    assert got == [(0, "all", 50, "r"), (1, "even", 25, "r")]
