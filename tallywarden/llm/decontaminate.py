@@ -1,17 +1,18 @@
 """Benchmark decontamination with DataFrame functions alone.
 
-Windows of benchmark items are hashed; the set of their hashes is small and, if
-its checked size allows, broadcast. Documents are scanned once for the hashes of
-their own windows. Documents with a hit are read again and every hit is compared
-word by word before it counts.
+Windows of benchmark items are hashed; the set of their hashes is small and, if its
+checked size allows, broadcast. Documents are split into words once and the hash of
+each of their windows is looked up; id, number of words and hits go on, no text does.
+The hits are then brought to the documents that have them, again by broadcast if
+their checked number allows, and compared word by word there.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallywarden.llm.common import stored
+from tallywarden.llm.common import discard, stored
 
 # Words are runs of 0-9, a-z and everything beyond ASCII; A-Z are lowered first.
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -46,6 +47,41 @@ def item_windows(benchmark: DataFrame, size: int) -> DataFrame:
     )
 
 
+def _small(df: DataFrame) -> DataFrame:
+    """``df``, marked for broadcast if it has few rows."""
+    return F.broadcast(df) if df.count() <= _BROADCAST_ROWS else df
+
+
+def _lookup(docs: DataFrame, items: DataFrame, lengths: list[int]) -> tuple[DataFrame, DataFrame]:
+    """(``doc_id``, ``n_words`` of every document; ``doc_id``, ``pos``, ``n``, ``of``
+    of every place where a window of the items ``of`` stands)."""
+    none = F.array().cast("array<string>")
+    # Length 0 stands for the document itself: one window without words in each.
+    zero = docs.sparkSession.range(1).select(F.lit(0).alias("n"), F.xxhash64(none).alias("h"))
+    keys = stored(items.select("n", "h").distinct().unionByName(zero), "keys", False)
+    worded = docs.select("doc_id", words(F.col("text")).alias("ws"))
+    sized = worded.select(
+        "doc_id", "ws", F.size("ws").alias("n_words"), F.explode(F.array(*[F.lit(n) for n in [0, *lengths]])).alias("n")
+    )
+    hashes = F.when(F.col("n") == 0, F.array(F.xxhash64(none))).otherwise(_windows(F.col("ws"), F.col("n")))
+    at = sized.select("doc_id", "n_words", "n", F.posexplode(hashes).alias("pos", "h"))
+    known = stored(at.join(_small(keys), ["n", "h"]), "known")
+    sizes = known.filter("n = 0").groupBy("doc_id").agg(F.max("n_words").cast("long").alias("n_words"))
+    hits = stored(known.filter("n > 0").select("doc_id", "pos", "n", "h").distinct(), "hits", False)
+    if hits.count() <= _BROADCAST_ROWS:
+        lists = F.broadcast(hits.groupBy("doc_id").agg(F.collect_list(F.struct("pos", "n", "h")).alias("hits")))
+    else:
+        lists = hits.groupBy("doc_id").agg(F.collect_list(F.struct("pos", "n", "h")).alias("hits"))
+    cut = F.transform(
+        "hits",
+        lambda x: F.struct(x["pos"].alias("pos"), x["n"].alias("n"), x["h"].alias("h"), F.slice("ws", x["pos"] + 1, x["n"]).alias("window")),
+    )
+    seen = worded.join(lists, "doc_id").select("doc_id", F.inline(cut)).distinct()
+    windows = items.groupBy("n", "h", "window").agg(F.collect_set("item_id").alias("of"))
+    windows = _small(stored(windows, "windows", False))
+    return sizes, stored(seen.join(windows, ["n", "h", "window"]).select("doc_id", "pos", "n", "of"), "verified", False)
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> DataFrame:
     """Per document ``doc_id``, ``n_words``, ``n_hit``, ``items`` (ids as text,
     sorted) and ``spans`` (hit words, as disjoint pieces of word positions).
@@ -53,73 +89,36 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> Data
     A window is ``size`` consecutive words of an item, or all of a shorter item.
     Null and blank texts have no words; items without words have no window. Rows
     without ``doc_id`` or ``item_id`` take no part. Repeated rows of a document
-    count once. Other columns are ignored.
+    count once. Other columns are ignored. ``doc_id`` and ``item_id`` may have any
+    type.
     """
     docs = docs.select("doc_id", "text").filter("doc_id IS NOT NULL")
-    items = stored(item_windows(benchmark.filter("item_id IS NOT NULL"), size), "windows")
+    items = stored(item_windows(benchmark.filter("item_id IS NOT NULL"), size), "items", False)
     lengths = [r[0] for r in items.select("n").distinct().orderBy("n").collect()]  # at most ``size``
-    keys = items.select("h", "n").distinct()
-    if keys.count() <= _BROADCAST_ROWS:
-        keys = F.broadcast(keys)
-
-    # Scan: positions of windows whose hash is known.
-    worded = docs.select("doc_id", words(F.col("text")).alias("ws"))
-    hits = None
-    for n in lengths:
-        at = worded.select("doc_id", F.posexplode(_windows(F.col("ws"), n)).alias("pos", "h"))
-        found = at.withColumn("n", F.lit(n)).join(keys, ["h", "n"])
-        hits = found if hits is None else hits.union(found)
-    sizes = docs.select("doc_id", F.size(words(F.col("text"))).cast("long").alias("n_words")).groupBy(
-        "doc_id"
-    ).agg(F.max("n_words").alias("n_words"))
-    if hits is None:
-        none = "array<struct<start:int,end:int>>"
-        return sizes.select(
-            "doc_id", "n_words", F.lit(0).cast("long").alias("n_hit"),
-            F.array().cast("array<string>").alias("items"), F.array().cast(none).alias("spans"),
-        )
-    hits = stored(hits.select("doc_id", "pos", "n", "h").distinct(), "hits")
-
-    # Verify: the words at each hit against the words of the windows.
-    lists = hits.groupBy("doc_id").agg(F.collect_list(F.struct("pos", "n", "h")).alias("hits"))
-    cut = F.transform(
-        "hits", lambda x: F.struct(x["pos"].alias("pos"), x["n"].alias("n"), x["h"].alias("h"), F.slice("ws", x["pos"] + 1, x["n"]).alias("window"))
+    sizes, hits = _lookup(docs, items, lengths)
+    discard(items)
+    named = hits.select("doc_id", F.explode("of").alias("item")).distinct().groupBy("doc_id").agg(
+        F.array_sort(F.collect_list(F.col("item").cast("string"))).alias("items")
     )
-    seen = (
-        worded.join(lists, "doc_id").withColumn("hits", cut).select("doc_id", F.explode("hits").alias("x")).select("doc_id", "x.*")
-    )
-    windows = items.groupBy("n", "h", "window").agg(F.collect_set(F.col("item_id")).alias("of"))
-    if isinstance(keys, DataFrame) and windows.count() <= _BROADCAST_ROWS:
-        windows = F.broadcast(windows)
-    real = seen.join(windows, ["n", "h", "window"])
-    per_doc = real.groupBy("doc_id").agg(
-        F.array_sort(F.collect_set(F.struct("pos", (F.col("pos") + F.col("n")).alias("end")))).alias("at"),
-        F.array_sort(F.transform(F.array_distinct(F.flatten(F.collect_set("of"))), lambda x: x.cast("string"))).alias("items"),
-    )
-    # Positions come sorted: a hit opens a span or makes the last one longer.
-    kind = "array<struct<start:int,end:int>>"
-    last = lambda acc: F.element_at(acc, -1)
-    spans = F.aggregate(
-        "at",
-        F.array().cast(kind),
-        lambda acc, x: F.when(
-            (F.size(acc) > 0) & (x["pos"] <= F.coalesce(F.try_element_at(acc, F.lit(-1))["end"], F.lit(-1))),
-            F.concat(
-                F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))),
-                F.array(F.struct(
-                    F.try_element_at(acc, F.lit(-1))["start"].alias("start"),
-                    F.greatest(F.try_element_at(acc, F.lit(-1))["end"], x["end"]).alias("end"),
-                )),
-            ),
-        ).otherwise(F.concat(acc, F.array(F.struct(x["pos"].alias("start"), x["end"].alias("end"))))).cast(kind),
-    )
-    marked = per_doc.select("doc_id", "items", spans.alias("spans"))
-    covered = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
-    return sizes.join(marked, "doc_id", "left").select(
-        "doc_id", "n_words",
-        F.coalesce(covered, F.lit(0).cast("long")).alias("n_hit"),
-        F.coalesce("items", F.array().cast("array<string>")).alias("items"),
-        F.coalesce("spans", F.array().cast(kind)).alias("spans"),
+    # In order of place, a hit that starts behind all before it opens a span.
+    ends = hits.groupBy("doc_id", "pos").agg(F.max(F.col("pos") + F.col("n")).alias("end"))
+    before = Window.partitionBy("doc_id").orderBy("pos")
+    reach = F.max("end").over(before.rowsBetween(Window.unboundedPreceding, -1))
+    opened = ends.withColumn("opens", F.when(F.col("pos") <= reach, 0).otherwise(1))
+    numbered = opened.withColumn("span", F.sum("opens").over(before))
+    spans = numbered.groupBy("doc_id", "span").agg(F.min("pos").alias("start"), F.max("end").alias("end"))
+    marked = spans.groupBy("doc_id").agg(
+        F.sum(F.col("end") - F.col("start")).cast("long").alias("n_hit"),
+        F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"),
+    )
+    return (
+        sizes.join(marked, "doc_id", "left")
+        .join(named, "doc_id", "left")
+        .select(
+            "doc_id", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
+            F.coalesce("items", F.array().cast("array<string>")).alias("items"),
+            F.coalesce("spans", F.array().cast("array<struct<start:int,end:int>>")).alias("spans"),
+        )
     )
 
 

@@ -133,6 +133,40 @@ def test_decontamination(spark):
     assert decontaminate(documents(spark, texts), bench.limit(0)).filter("n_hit > 0").count() == 0
 
 
+def test_decontamination_of_many_hits_and_odd_rows(spark, monkeypatch):
+    from tallywarden.llm import decontaminate as dc
+
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(30)]
+    items = [(f"i{k}", " ".join(rng.choices(words, k=rng.choice([1, 2, 3, 4, 6, 9])))) for k in range(30)] + [(None, "w1"), ("i0", "w2 w3")]
+    texts = [(str(i), " ".join(rng.choices(words, k=rng.randint(0, 60)))) for i in range(80)]
+    texts += [("5", texts[5][1]), (None, "w1 w2"), ("null", None), ("many", "pad pad w2 w3 pad " * 5_000)]
+    df = spark.createDataFrame(texts, "doc_id string, text string").repartition(3).withColumns({c: F.lit("z") for c in ("pos", "n", "h", "ws", "of")})
+    bench = spark.createDataFrame(items, "item_id string, text string").withColumn("window", F.lit(1))
+    want = {}
+    for i, t in texts:
+        if i is not None:
+            ws, hit, of = (t or "").split(), set(), set()
+            for item, words_ in [(k, x.split()) for k, x in items if k is not None]:
+                n = min(4, len(words_))
+                for a in range(len(words_) - n + 1):
+                    for p in range(len(ws) - n + 1) if i != "many" or words_[a : a + n] == ["w2", "w3"] or n < 3 else ():
+                        if ws[p : p + n] == words_[a : a + n]:
+                            hit |= set(range(p, p + n))
+                            of.add(item)
+            want[i] = (len(ws), len(hit), sorted(of), hit)
+    for most in (200_000, 0):  # windows broadcast, windows joined
+        monkeypatch.setattr(dc, "_BROADCAST_ROWS", most)
+        got = dc.decontaminate(df, bench, size=4).collect()
+        assert len(got) == len(want)
+        for r in got:
+            n, n_hit, of, hit = want[r.doc_id]
+            assert (r.n_words, r.n_hit, r["items"]) == (n, n_hit, of)
+            spans = [tuple(s) for s in r.spans]
+            assert {k for a, b in spans for k in range(a, b)} == hit
+            assert all(b < c for (_, b), (c, _) in zip(spans, spans[1:]))
+
+
 # -- 5 ---------------------------------------------------------------------
 def classes(texts, percent):
     sets = {}
