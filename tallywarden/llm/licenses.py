@@ -62,6 +62,7 @@ _TITLE = (
     r"(?i)^\s*(the )?(mit|isc|((simplified|new|modified|revised) )?bsd( [23][- ]clause)?( \"?(simplified|new|revised|modified)\"?( or \"?(new|revised|modified)\"?)?)?)"
     r" licen[sc]e( \((mit|isc|expat)\))?[ \t]*:?[ \t]*\r?\n"
 )
+_BROADCAST_ROWS = 200_000
 # Every built-in text holds one of these stems, so a text without any is none.
 _STEMS = r"(?i)licen[sc]|permission|redistribution"
 
@@ -81,7 +82,7 @@ def known_digests(spark: SparkSession) -> DataFrame:
     long = F.array(*[F.struct(F.lit(d).alias("digest"), F.lit(k).alias("license"), F.lit("text").alias("kind")) for k, d in DIGESTS.items()])
     return spark.range(1).select(F.explode(listed).alias("x")).select(
         F.sha2(canonical(F.col("x.text")), 256).alias("digest"), "x.license", "x.kind"
-    ).union(spark.range(1).select(F.inline(long))).dropDuplicates(["digest"])
+    ).union(spark.range(1).select(F.inline(long))).dropDuplicates(["digest", "kind"])
 
 
 def licenses(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
@@ -91,21 +92,26 @@ def licenses(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
 
     Null and empty texts match nothing. Rows without ``doc_id`` are dropped,
     repeated rows of a document count once. ``known`` holds ``digest`` (sha-256 of
-    the canonical text), ``license`` and ``kind``; it is broadcast, being a list
-    kept by hand.
+    the canonical text), ``license`` and ``kind``: ``text`` for whole licences,
+    ``notice`` for lines (without the column all are texts). Whole documents are looked up among the texts only, lines
+    among the notices only. A list of up to 200,000 rows is broadcast.
     """
     stems = _STEMS if known is None else ""  # nothing is known of the words of a caller's texts
     known = known_digests(docs.sparkSession) if known is None else known
-    known = F.broadcast(known.select("digest", "license"))
+    kind = "kind" if "kind" in known.columns else F.lit("text").alias("kind")
+    known = known.select("digest", "license", kind)
+    if known.count() <= _BROADCAST_ROWS:
+        known = F.broadcast(known)
+    texts, notices = (known.filter(F.col("kind") == kind).drop("kind") for kind in ("text", "notice"))
     rows = docs.filter("doc_id IS NOT NULL").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     likely = rows.filter(F.col("text").rlike(stems)).distinct()
     whole = (
-        likely.select("doc_id", F.sha2(canonical(F.col("text")), 256).alias("digest")).join(known, "digest")
+        likely.select("doc_id", F.sha2(canonical(F.col("text")), 256).alias("digest")).join(texts, "digest")
         .select("doc_id", "license", F.lit(None).cast("string").alias("notice"))
     )
     lines = likely.select("doc_id", F.explode(F.filter(F.split("text", "\n"), lambda x: x.rlike(stems))).alias("line"))
     named = (
-        lines.select("doc_id", F.sha2(canonical(F.col("line")), 256).alias("digest")).join(known, "digest")
+        lines.select("doc_id", F.sha2(canonical(F.col("line")), 256).alias("digest")).join(notices, "digest")
         .select("doc_id", F.lit(None).cast("string").alias("license"), F.col("license").alias("notice"))
     )
     found = whole.union(named).groupBy("doc_id").agg(

@@ -379,6 +379,9 @@ def test_licenses_as_published(spark):
     assert got == {1: "MIT", 2: "MIT", 3: "ISC", 4: "BSD-2-Clause", 5: "Unlicense", 6: None, 7: "BSD-3-Clause"}
     mine = spark.createDataFrame([("Do as you like.",)], "t string").select(F.sha2(canonical(F.col("t")), 256).alias("digest"), F.lit("Mine").alias("license"))
     assert licenses(documents(spark, [(1, "do as you like")]), mine).first().license == "Mine"
+    # A document that is one notice line is no whole licence.
+    line = licenses(documents(spark, [(1, "Licensed under CC BY-NC 4.0."), (1, "Licensed under CC BY-NC 4.0.")])).collect()
+    assert [(r.license, r.notices, r.n_notices) for r in line] == [(None, ["CC-BY-NC-4.0"], 1)]
 
 
 # -- 10 --------------------------------------------------------------------
