@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallywarden.llm.common import stored
+from tallywarden.llm.common import discard, stored
 
 
 def components(links: DataFrame, rounds: int | None = None, max_rounds: int = 60) -> DataFrame:
@@ -28,6 +28,7 @@ def components(links: DataFrame, rounds: int | None = None, max_rounds: int = 60
     )
     before = None
     for turn in range(max_rounds):
+        former = edges
         # Large star: every larger neighbour of u goes under u's smallest one.
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -46,6 +47,7 @@ def components(links: DataFrame, rounds: int | None = None, max_rounds: int = 60
             "edges",
             release=False,
         )
+        discard(former)
         if rounds is not None:
             if turn + 1 == rounds:
                 break
@@ -57,6 +59,8 @@ def components(links: DataFrame, rounds: int | None = None, max_rounds: int = 60
     else:
         raise RuntimeError("components did not settle")
     roots = edges.select(F.col("v").alias("node")).distinct()
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
+    out = edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
         roots.select("node", F.col("node").alias("component"))
     )
+    out.scratch = edges.scratch  # for ``discard``, when the result is stored itself
+    return out

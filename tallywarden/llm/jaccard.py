@@ -181,7 +181,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar."""
+    """The pairs (a, b), a table that is dropped here, whose sets are similar."""
 
     def verify(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -201,7 +201,9 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     firsts = sets.join(pairs.select(F.col("a").alias("doc")).distinct(), "doc", "left_semi")
     firsts = stored(firsts.select(F.col("doc").alias("a"), F.col("shingles").alias("x")), "sets")
     with_a = with_b.join(firsts, "a")
-    return with_a.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long")
+    found = stored(with_a.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long"), "links")
+    discard(firsts, pairs)
+    return found
 
 
 def similar_documents(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -246,7 +248,7 @@ def similar_documents(docs: DataFrame, width: int = 5, percent: int = 80) -> Dat
     sets = bucketed(_sets(docs, facts.select("doc"), width), "doc", "sets")
     first = named.join(facts, "doc").select("token", "doc", "size", "fame", F.col("doc").alias("component"))
     current = stored(first, "postings")
-    discard(named)
+    discard(named, facts)
 
     links = None
     for turn in range(_STARS):
@@ -257,29 +259,31 @@ def similar_documents(docs: DataFrame, width: int = 5, percent: int = 80) -> Dat
             centre, F.min("component").alias("lo"), F.max("component").alias("hi")
         ).filter("lo != hi")
         mixed_ = stored(mixed_.select("token", "c.centre", "c.its"), "lists")
-        current = stored(current.join(mixed_, "token"), "postings")
-        discard(mixed_)
+        former, current = current, stored(current.join(mixed_, "token"), "postings")
+        discard(mixed_, former)
         shared = current.filter("component != its").groupBy("doc", "centre").agg(
             F.count("*").alias("k"), F.first("size").alias("size")
         )
         enough = shared.filter(F.col("k") >= F.col("size") % _PACK)
         best = enough.groupBy("doc").agg(F.max(F.struct("k", "centre")).alias("best"))
         pairs = best.select(F.col("best.centre").alias("a"), F.col("doc").alias("b"))
-        found = stored(_linked(stored(pairs.distinct(), "pairs"), sets, percent), "links")
+        found = _linked(stored(pairs.distinct(), "pairs"), sets, percent)
         links = found if links is None else links.union(found)
         # Two rounds name nearly all of a star alike; what they miss is left to pairs.
-        near = components(links, rounds=2).withColumnRenamed("node", "doc").groupBy("doc").agg(
-            F.min("component").alias("component")
-        )
+        parts_ = components(links, rounds=2)
+        near = parts_.withColumnRenamed("node", "doc").groupBy("doc").agg(F.min("component").alias("component"))
         near = stored(near, "components")
         kept = current.drop("component", "centre", "its").join(near, "doc", "left")
-        current = stored(kept.withColumn("component", F.coalesce("component", "doc")), "postings")
+        former, current = current, stored(kept.withColumn("component", F.coalesce("component", "doc")), "postings")
+        discard(parts_, near, former)
         if found.isEmpty():
             break
 
     # What stars left: lists that still hold several components.
     mixed_ = current.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-    rest = stored(current.join(stored(mixed_.filter("lo != hi").select("token"), "lists"), "token", "left_semi"), "postings")
+    mixed_ = stored(mixed_.filter("lo != hi").select("token"), "lists")
+    rest = stored(current.join(mixed_, "token", "left_semi"), "postings")
+    discard(mixed_, current)
     x = rest.select("token", F.col("doc").alias("a"), F.col("size").alias("sa"), F.col("component").alias("ca"))
     y = rest.select("token", F.col("doc").alias("b"), F.col("size").alias("sb"), F.col("component").alias("cb"))
     na, nb = F.floor(F.col("sa") / _PACK), F.floor(F.col("sb") / _PACK)
@@ -290,7 +294,9 @@ def similar_documents(docs: DataFrame, width: int = 5, percent: int = 80) -> Dat
         met.groupBy("a", "b").agg(F.count("*").alias("k"), F.first(F.least(F.col("sa") % _PACK, F.col("sb") % _PACK)).alias("l"))
         .filter("k >= l").select("a", "b")
     )
-    more = stored(_linked(stored(pairs, "pairs"), sets, percent), "links")
+    pairs = stored(pairs, "pairs")
+    discard(rest)
+    more = _linked(pairs, sets, percent)
     drop_bucketed(sets)
     # Links hold the first document of a class in some task: named by class now.
     of = member.select(F.col("doc_id").alias("a"), F.col("class").alias("ca")).distinct()
