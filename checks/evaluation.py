@@ -456,6 +456,17 @@ def _(spark, sf):
     return summary.sorted_view(view(spark, sf).select("o_orderkey", "severity"), "severity", ["o_orderkey"])
 
 
+@query(
+    "t2_severity_page",
+    f"""WITH {VIEW} SELECT o_orderkey, severity FROM v ORDER BY {RANK} DESC, o_orderkey LIMIT 15 OFFSET 735""",
+)
+def _(spark, sf):
+    df = view(spark, sf).select("o_orderkey", "severity")
+    rank = summary.severity_rank(F.col("severity"))
+    block = (4 - rank) * F.lit(1 << 40) + F.floor(F.col("o_orderkey") / 1024)
+    return summary.deep_page(df, [rank.desc(), "o_orderkey"], block, 50)
+
+
 @query(
     "t4_first_findings",
     f"""WITH {NORMAL_EVENTS} SELECT id, status FROM norm WHERE status <> 'COMPLIANT' ORDER BY id LIMIT 5""",

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from checks.base import RULES, query, rules_of_documents, table
 from tallywarden.operators import registry as rg
 from tallywarden.operators import summary
+from tallywarden.plans import jobs
 from tallywarden.session import scratch_path
-from tallywarden.sources.tables import read_rule_files, store, write_rule_files
+from tallywarden.sources.tables import read_rule_files, store, upsert_partitions, write_rule_files
 
 
 def rules(spark, sf):
@@ -76,6 +77,63 @@ def _(spark, sf):
     return bad.groupBy("rule_id").agg(F.count("*").alias("violations"))
 
 
+@query(
+    "s9_chunks_by_document",
+    """WITH c AS (SELECT source, doc_id, n_chars FROM documents WHERE NOT source LIKE '%1'
+         UNION ALL SELECT source, doc_id, n_chars + 1 FROM documents WHERE source LIKE '%1' AND doc_id % 3 = 0)
+       SELECT source, count(*) AS chunks, sum(n_chars)::BIGINT AS chars FROM c GROUP BY 1""",
+)
+def _(spark, sf):
+    """A store of chunks; some sources come again with other chunks."""
+    path = scratch_path(spark, "chunk-store")
+    d = table(spark, sf, "documents").select("source", "doc_id", "n_chars")
+    upsert_partitions(d, path, ["source"])
+    again = d.filter("source LIKE '%1' AND doc_id % 3 = 0").withColumn("n_chars", F.col("n_chars") + 1)
+    upsert_partitions(again, path, ["source"])
+    return spark.read.parquet(path).groupBy("source").agg(F.count("*").alias("chunks"), F.sum("n_chars").alias("chars"))
+
+
+@query(
+    "s10_explanations",
+    """SELECT CAST(date_trunc('year', o_orderdate) AS DATE) AS run_date, 'X' || (o_orderkey % 3) AS rule_id, o_orderkey AS transaction_id,
+         CASE WHEN o_orderkey % 3 = 0 THEN 'VIOLATION' ELSE 'NEEDS_REVIEW' END AS verdict,
+         'order ' || o_orderkey || ' of ' || o_totalprice::DECIMAL(15,2) AS explanation
+       FROM orders WHERE o_totalprice >= 300000""",
+)
+def _(spark, sf):
+    """Verdicts and their explanations by run date; every third run is replayed."""
+    base = scratch_path(spark, "verdict-store")
+    o = table(spark, sf, "orders").filter("o_totalprice >= 300000")
+    found = o.select(
+        F.concat(F.lit("X"), (F.col("o_orderkey") % 3).cast("string")).alias("rule_id"),
+        F.col("o_orderkey").alias("transaction_id"),
+        F.when(F.col("o_orderkey") % 3 == 0, "VIOLATION").otherwise("NEEDS_REVIEW").alias("verdict"),
+        F.concat(F.lit("order "), F.col("o_orderkey"), F.lit(" of "), F.col("o_totalprice").cast("decimal(15,2)")).alias("explanation"),
+        F.to_date(F.trunc("o_orderdate", "year")).alias("run_date"),
+    )
+    third = found.filter(F.year("run_date") % 3 == 0)
+    for run in (found.withColumn("verdict", F.when(F.year("run_date") % 3 == 0, "first run").otherwise(F.col("verdict"))), third):
+        run = run.repartition("run_date")  # a file per run date
+        upsert_partitions(run.drop("explanation"), f"{base}/verdicts", ["run_date"])
+        upsert_partitions(run.drop("verdict"), f"{base}/explanations", ["run_date"])
+    told = spark.read.parquet(f"{base}/explanations")
+    return spark.read.parquet(f"{base}/verdicts").join(told, ["run_date", "rule_id", "transaction_id"])
+
+
+@query(
+    "job_registry_upsert",
+    f"""WITH {RULES} SELECT rule_id, CASE WHEN idx % 4 = 0 THEN 'changed' ELSE title END AS title, severity,
+          CASE WHEN idx % 4 = 0 THEN TRY_CAST(page_number AS BIGINT) END AS page_number FROM rules
+        UNION ALL SELECT 'N-' || idx, title, severity, TRY_CAST(page_number AS BIGINT) FROM rules WHERE idx % 9 = 0""",
+)
+def _(spark, sf):
+    r = rules(spark, sf)
+    changed = r.filter("idx % 4 = 0").withColumn("title", F.lit("changed"))
+    fresh = r.filter("idx % 9 = 0").withColumn("rule_id", F.concat(F.lit("N-"), F.col("idx").cast("string")))
+    new = changed.unionAll(fresh).select("rule_id", "title", "page_number", "severity", F.lit("x").alias("not_kept"))
+    return jobs.registry_upsert(r.select("rule_id", "title", "severity"), new, F.lit(1)).select("rule_id", "title", "severity", F.col("page_number").cast("long").alias("page_number"))
+
+
 @query(
     "p16_registry_filters",
     f"""WITH {RULES} SELECT 'status' AS f, rule_id FROM rules WHERE status = 'MODIFIED'

@@ -10,6 +10,7 @@ from tallywarden.functions import vectors as vc
 from tallywarden.operators import candidates as cd
 from tallywarden.operators import dedup, registry, scoring
 from tallywarden.operators.rules import clause_phrase
+from tallywarden.plans import jobs
 
 COLUMNS = ["idx", "lang", "title", "description", "severity", "rule_type"]
 
@@ -104,6 +105,41 @@ def _(spark, sf):
     )
 
 
+@query(
+    "job_dedup_rules",
+    f"""WITH RECURSIVE {GREEDY} SELECT 'R-' || g.idx AS rule_id, anchor, row_number() OVER (PARTITION BY anchor ORDER BY c DESC, g.idx) = 1 AS kept,
+          CASE WHEN coalesce(confidence_score, 0.5) >= 0.85 AND NOT coalesce(needs_review, FALSE) THEN 'auto_approved' ELSE 'pending_review' END AS approval_status
+        FROM grouped g JOIN rules r ON r.idx = g.idx""",
+)
+def _(spark, sf):
+    got = jobs.dedup_rules(rules_of_documents(spark, sf), "idx", "lang", metric="edit")
+    return got.select("rule_id", "anchor", "kept", "approval_status")
+
+
+@query(
+    "job_delta_candidates",
+    """WITH a AS (SELECT vec_id AS new_id, label, embedding FROM embeddings WHERE vec_id % 5 = 0),
+         s AS (SELECT vec_id AS rule_id, label, embedding, doc_id, text FROM embeddings JOIN documents ON doc_id = vec_id),
+         v AS (SELECT new_id, rule_id, 1 - list_cosine_similarity(a.embedding::DOUBLE[], s.embedding::DOUBLE[]) AS d, 0 AS place, 'vector' AS source
+           FROM a JOIN s USING (label) QUALIFY d < 0.18 AND row_number() OVER (PARTITION BY new_id ORDER BY d, rule_id) <= 5),
+         c AS (SELECT new_id, rule_id, 0.1, 1, 'clause' FROM a JOIN benchmark b ON item_id = new_id % 40
+           JOIN s ON contains(lower(s.text), lower(replace(trim(b.text), '%', '')))),
+         u AS (SELECT * FROM v UNION ALL SELECT * FROM c),
+         m AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY new_id, rule_id ORDER BY d, place) = 1)
+       SELECT new_id, rule_id, round(d, 6) AS distance, source FROM m
+       QUALIFY row_number() OVER (PARTITION BY new_id ORDER BY d, rule_id) <= 3""",
+)
+def _(spark, sf):
+    """Every fifth vector with a benchmark clause against vectors with documents."""
+    e = table(spark, sf, "embeddings").select("vec_id", "label", "embedding")
+    b = table(spark, sf, "benchmark").select("item_id", F.col("text").alias("source_clause"))
+    new = e.filter("vec_id % 5 = 0").join(b, F.col("vec_id") % 40 == F.col("item_id")).withColumnRenamed("vec_id", "new_id")
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("rule_id"), F.col("text").alias("source_clause"))
+    stored = e.withColumnRenamed("vec_id", "rule_id").join(d, "rule_id")
+    got = jobs.delta_candidates(new, "new_id", stored, ["label"])
+    return got.select("new_id", "rule_id", F.round("distance", 6).alias("distance"), "source")
+
+
 @query("j9_greedy_duplicates_gestalt")
 def _(spark, sf):
     return dedup.resolve_duplicates(rules_of_documents(spark, sf), "idx", "lang")

@@ -429,6 +429,16 @@ def _(spark, sf):
     return summary.page(df, [F.desc("o_totalprice"), "o_orderkey"], 4)
 
 
+@query(
+    "t3_deep_page",
+    """SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 15 OFFSET 885""",
+)
+def _(spark, sf):
+    df = orders(spark, sf).select("o_orderkey", "o_totalprice")
+    block = F.floor(-F.col("o_totalprice") / 500)
+    return summary.deep_page(df, [F.desc("o_totalprice"), "o_orderkey"], block, 60)
+
+
 @query("t3_page_count", "SELECT CAST(greatest(1, ceil(count(*) / 15.0)) AS BIGINT) AS pages FROM orders")
 def _(spark, sf):
     return summary.page_count(orders(spark, sf))

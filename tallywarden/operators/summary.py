@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallywarden.operators.rules import SEVERITIES
@@ -60,6 +60,29 @@ def page(df: DataFrame, order: list, number: int, size: int = PAGE_SIZE) -> Data
     return df.orderBy(*order).offset((number - 1) * size).limit(size)
 
 
+def rows_of_page(df: DataFrame, block: Column, number: int, size: int = PAGE_SIZE) -> tuple[DataFrame, int]:
+    """The rows of the blocks that hold a page, and how many of them come before it.
+
+    ``block`` must never decrease along the view's order and not be null. Rows are
+    counted per block; running counts say which blocks the page lies in. Two numbers
+    come to the driver, however far back the page is.
+    """
+    first = (number - 1) * size
+    counted = df.groupBy(block.alias("block")).agg(F.count("*").alias("n"))
+    upto = F.sum("n").over(Window.orderBy("block"))
+    hit = counted.withColumn("upto", upto).filter((F.col("upto") > first) & (F.col("upto") - F.col("n") < first + size))
+    lo, hi, before = hit.agg(F.min("block"), F.max("block"), F.min(F.col("upto") - F.col("n"))).first()
+    if lo is None:
+        return df.limit(0), 0
+    return df.filter(block.between(lo, hi)), first - before
+
+
+def deep_page(df: DataFrame, order: list, block: Column, number: int, size: int = PAGE_SIZE) -> DataFrame:
+    """``page`` for large views: only the blocks that hold the page are sorted."""
+    rows, skip = rows_of_page(df, block, number, size)
+    return rows.orderBy(*order).offset(skip).limit(size)
+
+
 def page_count(df: DataFrame, size: int = PAGE_SIZE) -> DataFrame:
     return df.agg(
         F.greatest(F.lit(1), F.ceil(F.count("*") / F.lit(size))).cast("long").alias("pages")

@@ -303,3 +303,17 @@ def test_top_rows_per_key_are_cut_before_the_shuffle(spark):
 
     plan = top_per_key(spark.range(10).withColumn("k", F.col("id") % 2), ["k"], ["id"], 3)
     assert "WindowGroupLimit" in plan._jdf.queryExecution().executedPlan().toString()
+
+
+def test_deep_page_sorts_its_blocks_only(spark):
+    n, size = 2_000_000, 15
+    df = spark.range(n).select(F.pmod(F.col("id") * 7919, F.lit(n)).alias("v"))
+    block = F.floor(F.col("v") / 10_000)
+    rows, skip = summary.rows_of_page(df, block, 100_000, size)
+    assert rows.count() <= n // 100 and 0 <= skip < 10_000
+    first = 99_999 * size
+    got = [r.v for r in summary.deep_page(df, ["v"], block, 100_000, size).collect()]
+    assert got == list(range(first, first + size))
+    edge = [r.v for r in summary.deep_page(df, ["v"], block, 667, size).collect()]  # over two blocks
+    assert edge == list(range(666 * size, 667 * size))
+    assert summary.deep_page(df, ["v"], block, n, size).count() == 0
