@@ -105,7 +105,7 @@ def quality_scores(
     ``labels`` holds ``doc_id`` and ``quality`` (1 good, 0 bad). Rows whose
     crc32(doc_id) mod 4 is 2 are held out, 0 and 1 are fitted, 3 calibrates. All
     labelled rows are used. Several labels of a document count by their mean;
-    null labels and labels of unknown documents are ignored. Null and empty
+    null and NaN labels and labels of unknown documents are ignored. Null and empty
     texts have a score as well. Without any label to learn from the score is 1.
     Only ``text`` is an input of the score. Rows without ``doc_id`` are dropped,
     repeated rows come back as often.
@@ -120,8 +120,9 @@ def quality_scores(
 
     texts = docs.filter("doc_id IS NOT NULL").select("doc_id", F.col("text").cast("binary"))
     stats = stored(texts.mapInArrow(scan, "doc_id long, x binary"), "statistics")
-    known = labels.filter("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(
-        F.avg(F.col("quality").cast("double")).alias("y")
+    label = F.col("quality").cast("double")
+    known = labels.filter(label.isNotNull() & ~F.isnan(label) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(
+        F.avg(label).alias("y")
     )
     fold = crc_mod("doc_id", 4)
     train = stats.filter(fold != 2).join(known, "doc_id").select("x", "y", fold.alias("fold"))

@@ -104,6 +104,8 @@ def test_quality_is_learnt(spark):
     ]
     texts += [(1000, None), (1001, ""), (1002, "x" * 200_000)]
     labels = spark.createDataFrame([(i, int(i % 3 > 0), "z") for i in range(600)] + [(None, 1, "z"), (5, None, "z"), (7777, 1, "z")], "doc_id long, quality int, text string")
+    odd = spark.createDataFrame([(8, float("nan"), "z"), (9, None, "z")], "doc_id long, quality double, text string")
+    labels = labels.withColumn("quality", F.col("quality").cast("double")).unionAll(odd)
     rows = quality_scores(documents(spark, texts, clash=True), labels).collect()
     assert len(rows) == 603 and all(0 <= r.score <= 1 for r in rows)
     held = [r for r in rows if r.held_out and r.doc_id < 600]
