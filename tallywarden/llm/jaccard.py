@@ -8,8 +8,13 @@ is read more often but lets fewer pairs through. Each document chooses its own
 ``l`` by estimated cost; a pair must share ``min`` of its two.
 
 * **Order.** Rare shingles first. How often one occurs is read from a sketch of
-  2^18 counters over all documents; any order is right, so the sketch only
+  2^20 counters over all documents; any order is right, so the sketch only
   decides speed.
+* **Places.** Up to a shared shingle two sets can share only what both have in
+  lists before it, beyond it only what either has left. A place that leaves too
+  little for any partner is dropped before anything is paired: that takes a copy
+  with too many shingles of its own out of its group. For pairs the same holds
+  with both places.
 * **Equal sets are one.** Documents with the same set are a class; each task sends
   one of them to the join.
 * **No pairs within a group.** Only whether two documents are connected is
@@ -26,7 +31,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallywarden.llm.common import blocks, bucketed, discard, drop_bucketed, stored, summed_arrays
@@ -35,7 +40,9 @@ from tallywarden.llm.suffixes import Powers, mixed
 
 _U = np.uint64
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
-_SKETCH = 1 << 18
+_SKETCH_BITS = 20
+_SKETCH = 1 << _SKETCH_BITS
+_COUNTER = _U(64 - _SKETCH_BITS)  # a shingle's counter: its hash shifted by this
 _VERIFY_COST = 64.0  # reading a posting costs 1
 _FEWER = 0.7  # share of the documents with l shingles in common that have l + 1
 _MOST = 31  # longest l tried
@@ -96,7 +103,7 @@ def adaptive_prefix(x: np.ndarray, level: np.ndarray, percent: int, floor: float
     logarithm of how often its shingles occur beyond chance; up to ``floor``
     occurrences stay hidden in it."""
     n = len(x)
-    own = level[(x >> _U(46)).astype(np.int64)]
+    own = level[(x >> _COUNTER).astype(np.int64)]
     first = prefix_length(n, percent)
     most = min(_MOST, n - first + 1)
     order = np.argsort(own, kind="stable")  # x is sorted: (level, hash)
@@ -125,7 +132,7 @@ def _signatures(docs: DataFrame, width: int) -> DataFrame:
         for batch in batches:
             ns, s1, s2 = [], [], []
             for x in shingle_sets(batch.column(1), width, powers):
-                np.add.at(counts, (x >> _U(46)).astype(np.int64), 1.0)
+                np.add.at(counts, (x >> _COUNTER).astype(np.int64), 1.0)
                 ns.append(len(x))
                 for column, sign in zip((s1, s2), _signs(x)):
                     column.append(sign)
@@ -180,6 +187,26 @@ def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     return docs.join(ids, "doc_id", "left_semi").mapInArrow(scan, "doc long, shingles binary")
 
 
+def _with_places(postings: DataFrame, percent: int) -> DataFrame:
+    """``postings`` that may be shared with a similar set, with ``before`` (postings
+    of the document before this one) and ``after`` (shingles of its set after it).
+
+    A similar set holds ``percent`` of this one. What both share up to a common
+    shingle is in both prefixes, so in postings; the rest lies after it.
+    """
+    n = F.floor(F.col("size") / _PACK)
+    places = postings.withColumns(
+        {"before": F.row_number().over(Window.partitionBy("doc").orderBy("at")) - 1, "after": n - F.col("at") - 1}
+    )
+    return places.filter(100 * (F.col("before") + 1 + F.col("after")) >= percent * n)
+
+
+def _enough(na: Column, nb: Column, percent: int) -> Column:
+    """Whether places in both sets leave as many common shingles as a link takes."""
+    most = F.least("before", "before_b") + 1 + F.least("after", "after_b")
+    return (100 + percent) * most >= percent * (na + nb)
+
+
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b), a table that is dropped here, whose sets are similar."""
 
@@ -234,7 +261,7 @@ def similar_documents(docs: DataFrame, width: int = 5, percent: int = 80) -> Dat
     discard(scanned, classes)
 
     prefixes = stored(_prefixes(docs, width, percent, level, floor), "prefixes")
-    postings = prefixes.select(F.explode("tokens").alias("token"), "doc", "size")
+    postings = prefixes.select(F.posexplode("tokens").alias("at", "token"), "doc", "size")
     lists = postings.groupBy("token").agg(
         F.min("doc").alias("low"), F.max("doc").alias("high"), F.count("*").alias("df"), F.min(F.col("size") % _PACK).alias("l")
     )
@@ -243,12 +270,12 @@ def similar_documents(docs: DataFrame, width: int = 5, percent: int = 80) -> Dat
     discard(prefixes, lists)
     # A document can have a partner only if enough of its prefix occurs elsewhere:
     # as many tokens as the least l in its lists, since a pair shares the min of two.
-    facts = named.groupBy("doc").agg(F.count("*").alias("k"), F.min("l").alias("l"), F.avg("df").alias("fame"))
-    facts = stored(facts.filter("k >= l").select("doc", "fame"), "facts")
-    sets = bucketed(_sets(docs, facts.select("doc"), width), "doc", "sets")
-    first = named.join(facts, "doc").select("token", "doc", "size", "fame", F.col("doc").alias("component"))
-    current = stored(first, "postings")
-    discard(named, facts)
+    own = Window.partitionBy("doc")
+    facts = {"k": F.count("*").over(own), "least": F.min("l").over(own), "fame": F.avg("df").over(own)}
+    first = _with_places(named, percent).withColumns(facts).filter("k >= least")
+    current = stored(first.select("token", "doc", "at", "size", "fame", F.col("doc").alias("component")), "postings")
+    discard(named)
+    sets = bucketed(_sets(docs, current.select("doc").distinct(), width), "doc", "sets")
 
     links = None
     for turn in range(_STARS):
@@ -282,14 +309,13 @@ def similar_documents(docs: DataFrame, width: int = 5, percent: int = 80) -> Dat
     # What stars left: lists that still hold several components.
     mixed_ = current.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
     mixed_ = stored(mixed_.filter("lo != hi").select("token"), "lists")
-    rest = stored(current.join(mixed_, "token", "left_semi"), "postings")
+    rest = _with_places(current.join(mixed_, "token", "left_semi"), percent)
+    rest = stored(rest.select("token", "doc", "size", "component", "before", "after"), "postings")
     discard(mixed_, current)
-    x = rest.select("token", F.col("doc").alias("a"), F.col("size").alias("sa"), F.col("component").alias("ca"))
-    y = rest.select("token", F.col("doc").alias("b"), F.col("size").alias("sb"), F.col("component").alias("cb"))
+    x = rest.withColumnsRenamed({"doc": "a", "size": "sa", "component": "ca"})
+    y = rest.toDF("token", "b", "sb", "cb", "before_b", "after_b")
     na, nb = F.floor(F.col("sa") / _PACK), F.floor(F.col("sb") / _PACK)
-    met = x.join(y, "token").filter(
-        (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (100 * na >= percent * nb) & (100 * nb >= percent * na)
-    )
+    met = x.join(y, "token").filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _enough(na, nb, percent))
     pairs = (
         met.groupBy("a", "b").agg(F.count("*").alias("k"), F.first(F.least(F.col("sa") % _PACK, F.col("sb") % _PACK)).alias("l"))
         .filter("k >= l").select("a", "b")

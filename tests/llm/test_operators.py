@@ -202,10 +202,10 @@ def test_similar_documents(spark, percent):
 
 
 def test_prefixes_keep_every_link():
-    from tallywarden.llm.jaccard import adaptive_prefix
+    from tallywarden.llm.jaccard import _SKETCH, adaptive_prefix
 
     rng = np.random.default_rng(2)
-    level = rng.integers(0, 6, 1 << 18).astype(np.uint8)
+    level = rng.integers(0, 6, _SKETCH).astype(np.uint8)
     for _ in range(200):
         whole = np.unique(rng.integers(0, 2**63, rng.integers(2, 300)).astype(np.uint64))
         x = np.sort(rng.permutation(whole)[: max(1, int(len(whole) * 0.95))])
@@ -239,6 +239,31 @@ def test_partner_with_a_smaller_l_is_found(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in got} == {1: 1, 2: 1, 3: 3}
 
 
+def test_groups_of_edited_copies(spark):
+    """Copies with few to many edits, so that pairs lie on both sides of the threshold
+    and places in the prefixes decide; a passage that all groups share; stray texts."""
+    from tallywarden.llm.jaccard import similar_documents
+
+    rng = random.Random(17)
+    passage = [f"hot{i}" for i in range(60)]
+    texts = []
+    for group in range(3):
+        base = [f"g{group}w{i}" for i in range(rng.randint(90, 200))] + (passage if group else [])
+        for copy in range(45):
+            words = list(base)
+            for _ in range(rng.randint(0, len(base) // 25)):
+                at = rng.randrange(len(words))
+                words[at : at + 1] = rng.choice([[], [f"new{rng.random()}"], [words[at], f"new{rng.random()}"]])
+            texts.append((len(texts) + 1, " ".join(words)))
+    for _ in range(25):
+        texts.append((len(texts) + 1, " ".join(passage[: rng.randint(30, 60)] + [f"own{rng.random()}" for _ in range(rng.randint(0, 20))])))
+    rng.shuffle(texts)
+    want = classes(texts, 80)
+    assert 20 < len({c for _, c in want.values()}) < len(texts) - 20
+    got = similar_documents(documents(spark, texts)).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
+
+
 def test_components_of_chains(spark):
     from tallywarden.llm.components import components
 
