@@ -18,10 +18,14 @@ is read more often but lets fewer pairs through. Each document chooses its own
 * **Equal sets are one.** Documents with the same set are a class; each task sends
   one of them to the join.
 * **No pairs within a group.** Only whether two documents are connected is
-  asked. In a few rounds each document is compared with one centre of its prefix
-  lists, in the first round the document whose shingles are shared most; what
-  that connects is contracted and lists that hold one component only are dropped.
-  In the end pairs are made between different components.
+  asked. In the first round each document is compared with one centre of its prefix
+  lists, the document whose prefix is shared most; in later rounds those in long
+  lists are compared with several. What that connects is contracted and lists that
+  hold one component only are dropped. In the end pairs are made between different
+  components.
+* **Shared tokens.** In the end it is known how many tokens two prefixes share.
+  What else two sets share lies after the last shared token, and after the end of
+  one of the prefixes. Pairs that this leaves too little are not verified.
 * Shared folders hold the sets of documents that have a candidate; verification
   is exact on 64-bit shingle hashes.
 """
@@ -48,6 +52,8 @@ _FEWER = 0.7  # share of the documents with l shingles in common that have l + 1
 _MOST = 31  # longest l tried
 _PACK = 32  # above it
 _STARS = 3  # rounds of comparing with centres
+_CENTRES = 8  # compared with in rounds after the first
+_LONG = 32  # lists of more postings take part in those rounds
 
 
 _SPACE = np.zeros(256, bool)
@@ -207,6 +213,29 @@ def _enough(na: Column, nb: Column, percent: int) -> Column:
     return (100 + percent) * most >= percent * (na + nb)
 
 
+def _rest(size: Column, percent: int) -> Column:
+    """How many shingles of a set are not in its prefix."""
+    return F.ceil(F.floor(size / _PACK) * percent / 100) - size % _PACK
+
+
+def _centres(current: DataFrame, turn: int) -> DataFrame:
+    """Per list of several components its centres: ``token``, ``centre`` and the
+    centre's component ``its``. The first round takes the document whose prefix
+    is shared most, later ones the best of each of several classes by hash, and
+    only in long lists: a short one has few pairs."""
+    best = F.struct((-F.col("fame")).alias("r"), F.col("doc").alias("centre"), F.col("component").alias("its"))
+    if turn == 0:
+        of = [F.min(best)]
+    else:
+        kind = F.pmod(F.xxhash64("doc", F.lit(turn)), F.lit(_CENTRES))
+        of = [F.min(F.when(kind == j, best)) for j in range(_CENTRES)]
+    lists = current.groupBy("token").agg(
+        F.array(*of).alias("c"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")
+    )
+    lists = lists.filter((F.col("lo") != F.col("hi")) & (F.col("n") > (_LONG if turn else 0)))
+    return lists.select("token", F.explode("c").alias("c")).filter("c IS NOT NULL").select("token", "c.centre", "c.its")
+
+
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b), a table that is dropped here, whose sets are similar."""
 
@@ -271,7 +300,10 @@ def similar_documents(docs: DataFrame, width: int = 5, percent: int = 80) -> Dat
     # A document can have a partner only if enough of its prefix occurs elsewhere:
     # as many tokens as the least l in its lists, since a pair shares the min of two.
     own = Window.partitionBy("doc")
-    facts = {"k": F.count("*").over(own), "least": F.min("l").over(own), "fame": F.avg("df").over(own)}
+    # Tokens of its own fill a document's prefix and are in no list: they lower its fame.
+    n = F.floor(F.col("size") / _PACK)
+    fame = F.sum("df").over(own) / (n - _rest(F.col("size"), percent))
+    facts = {"k": F.count("*").over(own), "least": F.min("l").over(own), "fame": fame}
     first = _with_places(named, percent).withColumns(facts).filter("k >= least")
     current = stored(first.select("token", "doc", "at", "size", "fame", F.col("doc").alias("component")), "postings")
     discard(named)
@@ -279,30 +311,23 @@ def similar_documents(docs: DataFrame, width: int = 5, percent: int = 80) -> Dat
 
     links = None
     for turn in range(_STARS):
-        # The centre of a list: the document whose prefix is shared most, later any.
-        rank = -F.col("fame") if turn == 0 else F.xxhash64("doc", F.lit(turn)).cast("double")
-        centre = F.min(F.struct(rank.alias("r"), F.col("doc").alias("centre"), F.col("component").alias("its"))).alias("c")
-        mixed_ = current.groupBy("token").agg(
-            centre, F.min("component").alias("lo"), F.max("component").alias("hi")
-        ).filter("lo != hi")
-        mixed_ = stored(mixed_.select("token", "c.centre", "c.its"), "lists")
-        former, current = current, stored(current.join(mixed_, "token"), "postings")
-        discard(mixed_, former)
-        shared = current.filter("component != its").groupBy("doc", "centre").agg(
+        centres = stored(_centres(current, turn), "lists")
+        shared = current.join(centres, "token").filter("component != its").groupBy("doc", "centre").agg(
             F.count("*").alias("k"), F.first("size").alias("size")
         )
         enough = shared.filter(F.col("k") >= F.col("size") % _PACK)
-        best = enough.groupBy("doc").agg(F.max(F.struct("k", "centre")).alias("best"))
-        pairs = best.select(F.col("best.centre").alias("a"), F.col("doc").alias("b"))
-        found = _linked(stored(pairs.distinct(), "pairs"), sets, percent)
+        place = F.row_number().over(Window.partitionBy("doc").orderBy(F.desc("k"), "centre"))
+        best = enough.withColumn("place", place).filter(F.col("place") <= (_CENTRES if turn else 1))
+        pairs = best.select(F.col("centre").alias("a"), F.col("doc").alias("b"))
+        found = _linked(stored(pairs, "pairs"), sets, percent)
         links = found if links is None else links.union(found)
         # Two rounds name nearly all of a star alike; what they miss is left to pairs.
         parts_ = components(links, rounds=2)
         near = parts_.withColumnRenamed("node", "doc").groupBy("doc").agg(F.min("component").alias("component"))
         near = stored(near, "components")
-        kept = current.drop("component", "centre", "its").join(near, "doc", "left")
+        kept = current.drop("component").join(near, "doc", "left")
         former, current = current, stored(kept.withColumn("component", F.coalesce("component", "doc")), "postings")
-        discard(parts_, near, former)
+        discard(parts_, near, former, centres)
         if found.isEmpty():
             break
 
@@ -316,10 +341,11 @@ def similar_documents(docs: DataFrame, width: int = 5, percent: int = 80) -> Dat
     y = rest.toDF("token", "b", "sb", "cb", "before_b", "after_b")
     na, nb = F.floor(F.col("sa") / _PACK), F.floor(F.col("sb") / _PACK)
     met = x.join(y, "token").filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _enough(na, nb, percent))
-    pairs = (
-        met.groupBy("a", "b").agg(F.count("*").alias("k"), F.first(F.least(F.col("sa") % _PACK, F.col("sb") % _PACK)).alias("l"))
-        .filter("k >= l").select("a", "b")
-    )
+    met = met.groupBy("a", "b", "sa", "sb").agg(
+        F.count("*").alias("k"), F.min(F.least("after", "after_b")).alias("behind")
+    )
+    beyond = F.least("behind", F.greatest(_rest(F.col("sa"), percent), _rest(F.col("sb"), percent)))
+    pairs = met.filter((100 + percent) * (F.col("k") + beyond) >= percent * (na + nb)).select("a", "b")
     pairs = stored(pairs, "pairs")
     discard(rest)
     more = _linked(pairs, sets, percent)
