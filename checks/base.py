@@ -64,7 +64,7 @@ def rules_of_documents(spark: SparkSession, sf: str) -> DataFrame:
         F.date_add(F.lit("2020-01-01").cast("date"), (i % 1000).cast("int")).cast("string").alias("source_document_date"),
         F.when(i % 10 == 2, F.concat("source", F.lit("-m.pdf"))).alias("last_modified_by"),
         F.when(i % 5 == 2, F.concat(F.lit("limit "), n.cast("string"))).alias("modification_summary"),
-        F.substring("text", 11, 100).alias("source_clause"),
+        F.col("text").alias("source_clause"),
         F.when(i % 7 == 0, F.lit("p. x")).otherwise((i % 97).cast("string")).alias("page_number"),
         F.lit(1).alias("reference_count"),
         n.alias("n_chars"),
@@ -86,7 +86,7 @@ RULES = """rules AS (
     strftime(DATE '2020-01-01' + CAST(d.doc_id % 1000 AS INTEGER), '%Y-%m-%d') AS source_document_date,
     CASE WHEN d.doc_id % 10 = 2 THEN source || '-m.pdf' END AS last_modified_by,
     CASE WHEN d.doc_id % 5 = 2 THEN 'limit ' || n_chars END AS modification_summary,
-    substr(text, 11, 100) AS source_clause,
+    text AS source_clause,
     CASE WHEN d.doc_id % 7 = 0 THEN 'p. x' ELSE CAST(d.doc_id % 97 AS VARCHAR) END AS page_number,
     1 AS reference_count, n_chars
   FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)"""

@@ -86,7 +86,7 @@ def answer_table(spark, sf):
     b = table(spark, sf, "documents")
     rule = F.struct(
         F.substring_index("text", ".", 1).alias("title"),
-        F.substring_index("text", "\n", 1).alias("description"),
+        F.col("text").alias("description"),
         F.lit("HIGH").alias("severity"),
         F.col("source").alias("source_clause"),
         F.lit("validation").alias("rule_type"),
@@ -113,7 +113,7 @@ def answer_table(spark, sf):
 @query(
     "f10_rules_from_answers",
     """WITH d AS (SELECT *, (n_chars % 101) / 100.0 AS c FROM documents WHERE doc_id % 4 < 3)
-       SELECT doc_id, 0 AS rule_pos, split_part(text, '.', 1) AS title, split_part(text, chr(10), 1) AS description, 'HIGH' AS severity,
+       SELECT doc_id, 0 AS rule_pos, split_part(text, '.', 1) AS title, text AS description, 'HIGH' AS severity,
          source AS source_clause, 'validation' AS rule_type, doc_id AS page_number, CAST(c AS DOUBLE) AS confidence_score FROM d WHERE c >= 0.70
        UNION ALL SELECT doc_id, 1, 'Second', lang, 'LOW', 'c', 't', 7, 0.9 FROM d""",
 )
@@ -133,7 +133,7 @@ def _(spark, sf):
 
 CITED = f"""cited AS (SELECT r.rule_id, r.idx, r.severity, r.confidence_score, r.title, r.description, r.needs_review,
     CASE WHEN r.idx % 3 = 0 THEN r.idx + 100000000 ELSE r.idx END AS doc_id,
-    CASE WHEN r.idx % 2 = 0 THEN replace(substr(d.text, 20, 80), ' ', '  ') ELSE coalesce(b.text, 'no clause of any kind') END AS source_clause,
+    CASE WHEN r.idx % 2 = 0 THEN replace(d.text, ' ', '  ') ELSE coalesce(b.text, 'no clause of any kind') END AS source_clause,
     CASE WHEN r.idx % 5 = 0 THEN 'limit 12,345.5' ELSE 'no figure' END AS figures
   FROM rules r JOIN documents d ON d.doc_id = r.idx LEFT JOIN benchmark b ON b.item_id = r.idx % 40),
   checked AS (SELECT c.*, d.text AS page_text,
@@ -156,7 +156,7 @@ def cited(spark, sf):
     return joined.select(
         "rule_id", "idx", "severity", "confidence_score", "title", "description", "needs_review",
         F.when(i % 3 == 0, i + 100000000).otherwise(i).alias("doc_id"),
-        F.when(i % 2 == 0, F.replace(F.substring("text", 20, 80), F.lit(" "), F.lit("  ")))
+        F.when(i % 2 == 0, F.replace("text", F.lit(" "), F.lit("  ")))
         .otherwise(F.coalesce("foreign", F.lit("no clause of any kind"))).alias("source_clause"),
         F.when(i % 5 == 0, "limit 12,345.5").otherwise("no figure").alias("figures"),
     )
