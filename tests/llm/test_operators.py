@@ -201,6 +201,26 @@ def test_similar_documents(spark, percent):
     assert similar_documents(empty(spark)).count() == 0
 
 
+def test_similar_documents_long_lists(spark):
+    """A group of copies, edited little to much, whose lists exceed ``_LONG``."""
+    import random
+
+    from tallywarden.llm import jaccard
+
+    rng = random.Random(4)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(150)]
+    texts = []
+    for i in range(4 * jaccard._LONG):
+        words = list(base)
+        for at in rng.sample(range(150), i % 8):
+            words[at] = f"own{i}x{at}"
+        texts.append((i, " ".join(words + [f"end{i}x{k}" for k in range(rng.randrange(12))])))
+    got = jaccard.similar_documents(documents(spark, texts)).collect()
+    want = classes(texts, 80)
+    assert len({c for _, c in want.values()}) > 1
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
+
+
 def test_prefixes_keep_every_link():
     from tallywarden.llm.jaccard import _SKETCH, adaptive_prefix
 
