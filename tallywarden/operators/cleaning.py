@@ -146,12 +146,12 @@ def duplicate_log(df: DataFrame, row_idx: str, limit: int | None = None) -> Data
     return log.orderBy(row_idx).limit(limit) if limit else log
 
 
-def trim_text(df: DataFrame) -> DataFrame:
+def trim_text(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     return df.withColumns(
         {
             f.name: strip(F.col(f"`{f.name}`"))
             for f in df.schema.fields
-            if isinstance(f.dataType, T.StringType)
+            if isinstance(f.dataType, T.StringType) and (columns is None or f.name in columns)
         }
     )
 
@@ -182,8 +182,12 @@ def check_report(
 ) -> DataFrame:
     """The five checks as rows (name, status, detail), per group if ``by`` is given."""
     data = columns or [c for c in df.columns if c not in (by or [])]
+    return row_totals(df, data, by).select(*(by or []), F.inline(five_checks(data, banned)))
+
+
+def five_checks(data: list[str], banned: str = "country") -> Column:
+    """The five checks as an array, from the columns of ``row_totals``."""
     absent = banned.lower() not in [c.lower() for c in data]
-    totals = row_totals(df, data, by)
 
     def check(name: str, passed: Column, detail: Column) -> Column:
         return F.struct(
@@ -193,7 +197,7 @@ def check_report(
         )
 
     number = lambda c: F.col(c).cast("string")
-    checks = F.array(
+    return F.array(
         check("Country column removed", F.lit(absent), F.lit(f"Column '{banned}' still present.")),
         check("No NULL values", F.col("null_cells") == 0,
               F.concat(number("null_cells"), F.lit(" NULL(s) still present."))),
@@ -204,7 +208,6 @@ def check_report(
         check("At least one column present", F.lit(len(data) >= 1),
               F.lit("No columns remain in dataset.")),
     )
-    return totals.select(*(by or []), F.inline(checks))
 
 
 def gate(report: DataFrame) -> DataFrame:

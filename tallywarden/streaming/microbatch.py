@@ -3,19 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallywarden.operators.cleaning import (
-    check_report,
     drop_empty_rows,
-    first_of_duplicates,
+    five_checks,
     trim_text,
     without_columns,
 )
-from tallywarden.operators.ordering import null_safe_join
 from tallywarden.sources.tables import stream_csv, with_row_index
 
 
@@ -24,16 +23,59 @@ ROW_HASH = "row_hash"
 
 
 FILE = "file"
+COPIES = "__copies"
 
 
-def clean_chunks(df: DataFrame, row_idx: str, chunk: list[str]) -> DataFrame:
+def clean_chunks(df: DataFrame, row_idx: str, chunk: str | list[str]) -> DataFrame:
     """Cleaning with duplicates searched within each chunk of rows only."""
+    return _stored(_counted(df, row_idx, chunk), row_idx, chunk)
+
+
+def _names(chunk: str | list[str]) -> list[str]:
+    return [chunk] if isinstance(chunk, str) else chunk
+
+
+def _counted(df: DataFrame, row_idx: str, chunk: str | list[str]) -> DataFrame:
+    """Each distinct row of a chunk, empty ones too, with its smallest index and the
+    number of its copies."""
     bare = without_columns(df)
-    data = [c for c in bare.columns if c not in (row_idx, *chunk)]
-    kept = first_of_duplicates(drop_empty_rows(bare, data), row_idx, chunk)
+    keys = dict.fromkeys([*_names(chunk), *[c for c in bare.columns if c != row_idx]])
+    return bare.groupBy(*[F.col(f"`{c}`") for c in keys]).agg(
+        F.min(row_idx).alias(row_idx), F.count("*").alias(COPIES)
+    )
+
+
+def _stored(counted: DataFrame, row_idx: str, chunk: str | list[str]) -> DataFrame:
+    data = [c for c in counted.columns if c not in (row_idx, COPIES, *_names(chunk))]
+    kept = drop_empty_rows(counted, data).drop(COPIES)
     return trim_text(kept.withColumn(ROW_HASH, F.sha2(F.to_json(F.struct(*data)), 256)))
 
 
+def _metrics(counted: DataFrame, row_idx: str, chunk: list[str]) -> DataFrame:
+    """``rows_input``, ``rows_stored`` and the names of failed checks per chunk."""
+    data = [c for c in counted.columns if c not in (row_idx, COPIES, *chunk)]
+    trimmed = trim_text(counted, data)
+    nulls = [F.col(f"`{c}`").isNull().cast("long") for c in data]
+    null_cells = reduce(lambda a, b: a + b, nulls)
+    kept = null_cells < len(data)
+    per_row = trimmed.groupBy(*[F.col(f"`{c}`") for c in [*chunk, *data]]).agg(
+        F.sum(COPIES).alias(COPIES), F.count("*").alias("__n")
+    )
+    totals = per_row.groupBy(*chunk).agg(
+        F.sum(COPIES).alias("rows_input"),
+        F.sum(F.when(kept, F.col("__n")).otherwise(0)).alias("rows"),
+        F.sum(F.when(kept, F.col("__n") * null_cells).otherwise(0)).alias("null_cells"),
+        F.sum(F.when(kept, F.col("__n") - 1).otherwise(0)).alias("repeats"),
+    )
+    failed = F.transform(F.filter(five_checks(data), lambda c: c["status"] == "FAIL"), lambda c: c["name"])
+    return totals.select(
+        *chunk,
+        "rows_input",
+        F.col("rows").alias("rows_stored"),
+        F.when(F.col("rows") > 0, F.array_sort(failed)).otherwise(F.array().cast("array<string>")).alias("failed"),
+    )
+
+
 def numbered_rows(batch: DataFrame, row_idx: str, chunk: str, chunk_rows: int) -> DataFrame:
     """Rows of a micro-batch with their file, their position in it from 0, and the
     chunk of ``chunk_rows`` rows that this position lies in.
@@ -54,27 +96,14 @@ def _one_batch(rows_path: str, metrics_path: str, row_idx: str, chunk: str, chun
     def run(batch: DataFrame, batch_id: int) -> None:
         # Both tables are partitioned by the batch: a batch that is run again
         # after a failure replaces its own rows and nothing else.
-        spark = batch.sparkSession
+        # The files are read once; rows and metrics come from what they hold.
         rows = numbered_rows(batch, row_idx, chunk, chunk_rows) if chunk_rows else batch.drop("__file", "__split")
-        target = f"{rows_path}/batch_id={batch_id}"
-        clean_chunks(rows, row_idx, keys).write.mode("overwrite").parquet(target)
-        clean = spark.read.parquet(target).drop(ROW_HASH)
-        data = [c for c in clean.columns if c not in (row_idx, *keys)]
-        seen = rows.groupBy(*keys).agg(F.count("*").alias("rows_input"))
-        stored = clean.groupBy(*keys).agg(F.count("*").alias("rows_stored"))
-        failed = (
-            check_report(clean, data, keys)
-            .filter(F.col("status") == "FAIL")
-            .groupBy(*keys)
-            .agg(F.array_sort(F.collect_list("name")).alias("failed"))
-        )
-        metrics = null_safe_join(null_safe_join(seen, stored, keys, "left"), failed, keys, "left").select(
-            *keys,
-            "rows_input",
-            F.coalesce("rows_stored", F.lit(0)).alias("rows_stored"),
-            F.coalesce("failed", F.array().cast("array<string>")).alias("failed"),
-        )
-        metrics.write.mode("overwrite").parquet(f"{metrics_path}/batch_id={batch_id}")
+        counted = _counted(rows, row_idx, keys).persist()
+        try:
+            _stored(counted, row_idx, keys).write.mode("overwrite").parquet(f"{rows_path}/batch_id={batch_id}")
+            _metrics(counted, row_idx, keys).write.mode("overwrite").parquet(f"{metrics_path}/batch_id={batch_id}")
+        finally:
+            counted.unpersist()
 
     return run
 
