@@ -218,7 +218,7 @@ def batched(spark, sf, block_size=65536, provider="together"):
         stored, ["source"], ["chunk_index", "part"],
         F.floor(F.col("chunk_index") / 4096), "n",
     ).withColumn("kept_index", F.col("n") - 1)
-    return ck.batch_chunks(kept.drop("n"), "source", "kept_index", provider=provider, block_size=block_size)
+    return ck.batch_chunks(kept.drop("n"), "source", "kept_index", provider=provider, block_size=block_size, batches="batches")
 
 
 @query(

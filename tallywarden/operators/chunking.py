@@ -170,29 +170,37 @@ def fitting_chunks(df: DataFrame, text: str = "text", provider: str = "together"
 
 def batch_chunks(
     df: DataFrame, doc: str, order: str, text: str = "text", provider: str = "together",
-    block_size: int = 65536,
+    block_size: int = 65536, batches: str | None = None,
 ) -> DataFrame:
-    """Token batches per document. ``order`` numbers the kept chunks 0, 1, ...
+    """Token batches per document. ``order`` numbers the kept chunks 0, 1, ...;
+    ``batches`` names a column for the number of batches of the document.
 
     A chunk that no call takes has a batch of its own; ``fitting_chunks`` makes
     such chunks fit beforehand.
     """
     capacity = batch_capacity(provider)
     sized = df.withColumn("tokens", token_estimate(F.col(text)).cast("long"))
-    return greedy_bins(sized, doc, order, "tokens", capacity, "batch_no", block_size)
+    return greedy_bins(sized, doc, order, "tokens", capacity, "batch_no", block_size, batches)
 
 
 def batch_prompts(
     df: DataFrame, doc: str, order: str, text: str = "text", page: str = "page",
     paragraph: str = "paragraph_number",
 ) -> DataFrame:
-    """One prompt text per batch. A batch is bounded by its token capacity."""
-    per_batch = df.groupBy(doc, "batch_no").agg(
+    """One prompt text per batch. A batch is bounded by its token capacity.
+
+    With a column ``batches`` (``batch_chunks`` makes it) the texts are shuffled once;
+    without, the batches of a document are counted first, which reads them twice.
+    """
+    known = "batches" in df.columns
+    per_batch = df.filter(F.col(doc).isNotNull()).groupBy(doc, "batch_no").agg(
         F.array_sort(
             F.collect_list(F.struct(F.col(order).alias("o"), page, paragraph, text))
-        ).alias("__chunks")
+        ).alias("__chunks"),
+        *([F.max("batches").alias("batches")] if known else []),
     )
-    total = per_batch.groupBy(doc).agg(F.count("*").alias("batches"))
+    if not known:
+        per_batch = per_batch.join(per_batch.groupBy(doc).agg(F.count("*").alias("batches")), doc)
 
     def section(c: Column, i: Column) -> Column:
         head = F.concat(
@@ -204,7 +212,7 @@ def batch_prompts(
         return F.concat_ws("\n", head, strip(c[text]), tail)
 
     body = F.array_join(F.transform("__chunks", section), "\n\n")
-    return per_batch.join(total, doc).select(
+    return per_batch.select(
         doc,
         "batch_no",
         "batches",

@@ -95,11 +95,14 @@ def greedy_bins(
     capacity: int,
     out: str = "batch_no",
     block_size: int = 65536,
+    bins: str | None = None,
 ) -> DataFrame:
-    """Adds the 0-based bin number of each item within its ``key``.
+    """Adds the 0-based bin number of each item within its ``key`` and, if ``bins``
+    names a column for it, the number of bins of the key.
 
     ``order`` numbers the items of a key 0, 1, 2, ... without gaps.
     """
+    made = [out, bins] if bins else [out]
     # Read several times below: kept as a narrow table instead of made again.
     slim = cut_lineage(
         df.select(
@@ -123,7 +126,8 @@ def greedy_bins(
         key,
         F.explode(F.slice("__items", F.col("__from") + 1, upto - F.col("__from"))).alias("__item"),
         F.col("__bin").cast("long").alias(out),
-    ).select(key, F.col("__item.__pos").alias("__pos"), out)
+        *([F.size("__starts").cast("long").alias(bins)] if bins else []),
+    ).select(key, F.col("__item.__pos").alias("__pos"), *made)
 
     if long_keys.isEmpty():
         return null_safe_join(df, short.withColumnRenamed("__pos", order), [key, order], "inner")
@@ -169,10 +173,10 @@ def greedy_bins(
             else:
                 fill = int(leaves)
                 opened += int(row[4][step])
-        return pd.DataFrame(entries, columns=[key, "__block", "__fill", "__opened"])
+        return pd.DataFrame(entries, columns=[key, "__block", "__fill", "__opened"]).assign(__bins=opened)
 
     entries = tables.groupBy(key).applyInPandas(
-        chain, f"{key} {key_type}, __block long, __fill long, __opened long"
+        chain, f"{key} {key_type}, __block long, __fill long, __opened long, __bins long"
     )
 
     def pack(part: pd.DataFrame) -> pd.DataFrame:
@@ -188,12 +192,13 @@ def greedy_bins(
             else:
                 fill += int(w)
             numbers.append(number)
-        return pd.DataFrame({key: part[key], "__pos": part["__pos"], out: numbers})
+        packed = pd.DataFrame({key: part[key], "__pos": part["__pos"], out: numbers})
+        return packed.assign(**{bins: part["__bins"]}) if bins else packed
 
     long = (
         null_safe_join(long_items, entries, [key, "__block"], "inner")
         .groupBy(key, "__block")
-        .applyInPandas(pack, f"{key} {key_type}, __pos long, {out} long")
+        .applyInPandas(pack, f"{key} {key_type}, __pos long, " + ", ".join(f"{c} long" for c in made))
     )
     numbered = short.unionByName(long).withColumnRenamed("__pos", order)
     return null_safe_join(df, numbered, [key, order], "inner")

@@ -173,3 +173,24 @@ def test_signals(spark):
 def test_keyword_tags(spark):
     groups = {"a": ["kyc", "know your"], "b": ["ctr"]}
     assert values(spark, ["Know Your CTR", "none"], lambda c: tx.keyword_tags(c, groups)) == [["a", "b"], []]
+
+
+def test_bins_of_a_key_are_counted_with_them(spark):
+    rng = random.Random(8)
+    rows = [(k, i, rng.randint(1, 60)) for k, n in (("a", 37), ("b", 1), (None, 12)) for i in range(n)]
+    df = spark.createDataFrame(rows, "k string, i long, w long")
+    for block in (64, 5):
+        got = greedy_bins(df, "k", "i", "w", 100, "b", block, "bins").collect()
+        assert len(got) == len(rows)
+        most = {k: max(r.b for r in got if r.k == k) + 1 for k in ("a", "b", None)}
+        assert all(r.bins == most[r.k] for r in got)
+
+
+def test_prompts_need_no_second_reading_of_the_texts(spark):
+    rows = [("d", i, 1, "", "word " * 900) for i in range(9)] + [("e", 0, 1, "m", "some text")]
+    df = spark.createDataFrame(rows, "doc string, i long, page long, paragraph_number string, text string")
+    known = ck.batch_prompts(ck.batch_chunks(df, "doc", "i", batches="batches"), "doc", "i")
+    asked = ck.batch_prompts(ck.batch_chunks(df, "doc", "i"), "doc", "i")
+    assert sorted(map(tuple, known.collect())) == sorted(map(tuple, asked.collect()))
+    joins = lambda x: x._jdf.queryExecution().optimizedPlan().toString().count("Join ")
+    assert joins(known) < joins(asked)
