@@ -113,3 +113,17 @@ def test_logs_are_whole_by_default(spark):
     assert cl.dropped_empty_log(df, "row_idx").count() == 40
     assert cl.duplicate_log(df, "row_idx").count() == 39
     assert cl.duplicate_log(df, "row_idx", limit=25).count() == 25
+
+
+def test_metrics_of_a_batch_come_from_one_grouping(spark):
+    from tallywarden.streaming import microbatch as mb
+
+    df = spark.createDataFrame(
+        [(0, 0, "a", "x"), (1, 0, "a", "x"), (2, 0, " a", "x"), (3, 0, None, None), (4, 1, None, None), (5, None, "b", None)],
+        "i long, chunk long, x string, y string",
+    )
+    got = mb._metrics(mb._counted(df, "i", ["chunk"]), "i", ["chunk"]).collect()
+    assert {tuple(r) if not r.failed else (*r[:3], tuple(r.failed)) for r in got if r.failed} == {
+        (0, 4, 2, ("No duplicate rows",)), (None, 1, 1, ("No NULL values",))
+    }
+    assert [tuple(r) for r in got if not r.failed] == [(1, 1, 0, [])]

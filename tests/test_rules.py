@@ -317,3 +317,17 @@ def test_deep_page_sorts_its_blocks_only(spark):
     edge = [r.v for r in summary.deep_page(df, ["v"], block, 667, size).collect()]  # over two blocks
     assert edge == list(range(666 * size, 667 * size))
     assert summary.deep_page(df, ["v"], block, n, size).count() == 0
+
+
+def test_only_rules_on_texts_ask_for_texts(spark):
+    from tallywarden.operators import evaluate
+
+    tx = spark.createDataFrame([(1, 5.0, "x"), (2, None, "y"), (3, 9.5, None)], "i long, n double, s string")
+    rules = spark.createDataFrame(
+        [("A", "n", "gt", "9"), ("B", "n", "missing", None), ("C", "s", "eq", "x"), ("D", "s", "missing", None), ("E", "n", "lte", "5")],
+        "rule_id string, condition_field string, condition_operator string, condition_value string",
+    )
+    got = evaluate.violations(tx, rules, ["i"], compiled_rules=0).collect()
+    assert sorted(map(tuple, got)) == [(1, "C"), (1, "E"), (2, "B"), (3, "A"), (3, "D")]
+    index = next(evaluate._indexes(evaluate._usable(tx, rules)))
+    assert index.texts == {"n": False, "s": True}
