@@ -22,7 +22,12 @@ is read more often but lets fewer pairs through. Each document chooses its own
   lists, the document whose prefix is shared most; in later rounds those in long
   lists are compared with several. What that connects is contracted and lists that
   hold one component only are dropped. In the end pairs are made between different
-  components.
+  components. Shingles that stand in the prefixes of the same documents, as those of a
+  passage do, are one list then.
+* **Parities.** A set's shingles fall into 2048 cells by hash. Where one set has an odd
+  number in a cell and the other an even one, some shingle is in one of them only, so
+  the number of such cells bounds the overlap from above. A pair that meets in a list
+  is made only if that leaves it enough.
 * **Shared tokens.** In the end it is known how many tokens two prefixes share.
   What else two sets share lies after the last shared token, and after the end of
   one of the prefixes. Pairs that this leaves too little are not verified.
@@ -54,6 +59,9 @@ _PACK = 32  # above it
 _STARS = 3  # rounds of comparing with centres
 _CENTRES = 8  # compared with in rounds after the first
 _LONG = 32  # lists of more postings take part in those rounds
+_FEW = 1000  # a round that links fewer than one in so many documents is the last
+_CELLS = 2048  # of which a set's parities are kept
+_MARKS = 1 << 24  # bits that tell which documents may be wanted
 
 
 _SPACE = np.zeros(256, bool)
@@ -178,19 +186,42 @@ def _prefixes(docs: DataFrame, width: int, percent: int, level: np.ndarray, floo
     return docs.mapInArrow(scan, "doc long, size long, tokens array<long>")
 
 
+def parities(x: np.ndarray) -> np.ndarray:
+    """Whether the number of a set's shingles in each cell is odd, as bits of longs."""
+    odd = np.bincount((x & _U(_CELLS - 1)).astype(np.int64), minlength=_CELLS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """The sets of some documents, read from their texts again."""
+    """The sets of some documents, their sizes and parities, read from the texts again.
+
+    Which documents are wanted is known to all tasks from a bit by hash of the id, so
+    texts stay where they are; some sets that nobody asked for come along.
+    """
+    mark = F.pmod(F.xxhash64("doc"), F.lit(_MARKS))
+    bit = F.expr("shiftleft(1L, CAST(mark % 64 AS INT))")
+    words = wanted.select(mark.alias("mark")).groupBy(F.floor(F.col("mark") / 64).alias("word")).agg(F.bit_or(bit).alias("bits"))
+    found, marks = words.toPandas(), np.zeros(_MARKS // 64, np.int64)
+    marks[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64)
 
     def scan(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         powers = Powers()
         for batch in batches:
-            raws = [x.tobytes() for x in shingle_sets(batch.column(1), width, powers)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raws, pa.binary())], names=["doc", "shingles"])
+            at = batch.column(2).to_numpy()
+            batch = batch.filter(pa.array((marks[at // 64] >> (at % 64)) & 1 == 1))
+            sets = list(shingle_sets(batch.column(1), width, powers))
+            ends = np.arange(len(sets) + 1, dtype=np.int32) * (_CELLS // 64)
+            odd = np.concatenate([parities(x) for x in sets]) if sets else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([len(x) for x in sets], pa.int64()),
+                 pa.ListArray.from_arrays(pa.array(ends), pa.array(odd)), pa.array([x.tobytes() for x in sets], pa.binary())],
+                names=["doc", "n", "odd", "shingles"],
+            )
 
-    ids = wanted.withColumnRenamed("doc", "doc_id")
-    return docs.join(ids, "doc_id", "left_semi").mapInArrow(scan, "doc long, shingles binary")
+    marked = docs.select(F.col("doc_id").alias("doc"), "text", F.pmod(F.xxhash64("doc_id"), F.lit(_MARKS)).alias("mark"))
+    return marked.mapInArrow(scan, "doc long, n long, odd array<long>, shingles binary")
 
 
 def _with_places(postings: DataFrame, percent: int) -> DataFrame:
@@ -213,6 +244,13 @@ def _enough(na: Column, nb: Column, percent: int) -> Column:
     return (100 + percent) * most >= percent * (na + nb)
 
 
+def _alike(na: Column, nb: Column, odd: str, odd_b: str, percent: int) -> Column:
+    """Whether parities leave as many common shingles as a link takes: both sets hold
+    all but ``(100 - percent) / (100 + percent)`` of their shingles in common."""
+    apart = sum(F.bit_count(F.col(odd)[i].bitwiseXOR(F.col(odd_b)[i])) for i in range(_CELLS // 64))
+    return (100 + percent) * apart <= (100 - percent) * (na + nb)
+
+
 def _rest(size: Column, percent: int) -> Column:
     """How many shingles of a set are not in its prefix."""
     return F.ceil(F.floor(size / _PACK) * percent / 100) - size % _PACK
@@ -236,6 +274,34 @@ def _centres(current: DataFrame, turn: int) -> DataFrame:
     return lists.select("token", F.explode("c").alias("c")).filter("c IS NOT NULL").select("token", "c.centre", "c.its")
 
 
+def _in_mixed_lists(current: DataFrame) -> DataFrame:
+    """Postings of lists that hold several components; the table given is dropped."""
+    tokens = current.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+    tokens = stored(tokens.filter("lo != hi").select("token"), "lists")
+    kept = stored(current.join(tokens, "token", "left_semi"), "postings")
+    discard(tokens, current)
+    return kept
+
+
+def _merged_lists(current: DataFrame) -> DataFrame:
+    """``token`` of every list that holds several components, and ``weight``: of
+    lists of the same documents the one latest in order stands for all, with their
+    number; the others have 0. What is equal is told by number, ends and a 64-bit hash."""
+    mark = F.xxhash64("doc")
+    lists = current.groupBy("token").agg(
+        F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n"),
+        F.min("doc").alias("low"), F.max("doc").alias("high"), F.sum("at").alias("place"),
+        F.sum(mark.bitwiseAND(F.lit(0xFFFFFFFF))).alias("s1"), F.sum(F.shiftrightunsigned(mark, 32)).alias("s2"),
+    )
+    lists = lists.filter("lo != hi").drop("lo", "hi")
+    # All documents hold their tokens in one order, so places in them add up in it too.
+    same = lists.groupBy("n", "low", "high", "s1", "s2").agg(
+        F.max_by("token", "place").alias("token"), F.count("*").alias("weight")
+    )
+    tokens = lists.select("token", F.lit(0).cast("long").alias("weight")).union(same.select("token", "weight"))
+    return tokens.groupBy("token").agg(F.max("weight").alias("weight"))
+
+
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b), a table that is dropped here, whose sets are similar."""
 
@@ -308,6 +374,7 @@ def similar_documents(docs: DataFrame, width: int = 5, percent: int = 80) -> Dat
     current = stored(first.select("token", "doc", "at", "size", "fame", F.col("doc").alias("component")), "postings")
     discard(named)
     sets = bucketed(_sets(docs, current.select("doc").distinct(), width), "doc", "sets")
+    many, facts = sets.count(), sets.select("doc", "n", "odd").distinct()
 
     links = None
     for turn in range(_STARS):
@@ -319,6 +386,8 @@ def similar_documents(docs: DataFrame, width: int = 5, percent: int = 80) -> Dat
         place = F.row_number().over(Window.partitionBy("doc").orderBy(F.desc("k"), "centre"))
         best = enough.withColumn("place", place).filter(F.col("place") <= (_CENTRES if turn else 1))
         pairs = best.select(F.col("centre").alias("a"), F.col("doc").alias("b"))
+        pairs = pairs.join(facts.toDF("b", "nb", "odd_b"), "b").join(facts.toDF("a", "na", "odd"), "a")
+        pairs = pairs.filter(_alike(F.col("na"), F.col("nb"), "odd", "odd_b", percent)).select("a", "b")
         found = _linked(stored(pairs, "pairs"), sets, percent)
         links = found if links is None else links.union(found)
         # Two rounds name nearly all of a star alike; what they miss is left to pairs.
@@ -328,21 +397,27 @@ def similar_documents(docs: DataFrame, width: int = 5, percent: int = 80) -> Dat
         kept = current.drop("component").join(near, "doc", "left")
         former, current = current, stored(kept.withColumn("component", F.coalesce("component", "doc")), "postings")
         discard(parts_, near, former, centres)
-        if found.isEmpty():
+        if _FEW * found.count() < many:
             break
-
-    # What stars left: lists that still hold several components.
-    mixed_ = current.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-    mixed_ = stored(mixed_.filter("lo != hi").select("token"), "lists")
-    rest = _with_places(current.join(mixed_, "token", "left_semi"), percent)
-    rest = stored(rest.select("token", "doc", "size", "component", "before", "after"), "postings")
-    discard(mixed_, current)
+        current = _in_mixed_lists(current)
+
+    # What stars left: lists that still hold several components. Places are taken
+    # before lists are merged; of the last shared token, which alone bounds most,
+    # the list stays.
+    lists = stored(_merged_lists(current), "lists")
+    rest = _with_places(current.join(lists, "token"), percent).filter("weight > 0")
+    rest = rest.join(facts.select("doc", "odd"), "doc")
+    rest = stored(rest.select("token", "doc", "size", "component", "before", "after", "weight", "odd"), "postings")
+    discard(lists, current)
     x = rest.withColumnsRenamed({"doc": "a", "size": "sa", "component": "ca"})
-    y = rest.toDF("token", "b", "sb", "cb", "before_b", "after_b")
+    y = rest.drop("weight").toDF("token", "b", "sb", "cb", "before_b", "after_b", "odd_b")
     na, nb = F.floor(F.col("sa") / _PACK), F.floor(F.col("sb") / _PACK)
-    met = x.join(y, "token").filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _enough(na, nb, percent))
+    met = x.join(y, "token").filter(
+        (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _enough(na, nb, percent)
+        & _alike(na, nb, "odd", "odd_b", percent)
+    )
     met = met.groupBy("a", "b", "sa", "sb").agg(
-        F.count("*").alias("k"), F.min(F.least("after", "after_b")).alias("behind")
+        F.sum("weight").alias("k"), F.min(F.least("after", "after_b")).alias("behind")
     )
     beyond = F.least("behind", F.greatest(_rest(F.col("sa"), percent), _rest(F.col("sb"), percent)))
     pairs = met.filter((100 + percent) * (F.col("k") + beyond) >= percent * (na + nb)).select("a", "b")

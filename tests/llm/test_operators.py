@@ -284,6 +284,39 @@ def test_groups_of_edited_copies(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
 
 
+def test_parities_bound_the_difference():
+    from tallywarden.llm.jaccard import parities
+
+    rng = np.random.default_rng(5)
+    for n in (1, 40, 900, 5000):
+        x = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+        y = np.unique(np.concatenate([x[: int(n * 0.9)], rng.integers(0, 2**63, n // 7 + 1).astype(np.uint64)]))
+        apart = sum(int(v).bit_count() for v in (parities(x) ^ parities(y)).view(np.uint64))
+        assert 0 < apart <= len(np.setxor1d(x, y))
+
+
+def test_a_shared_passage_is_one_list(spark, monkeypatch):
+    """Texts that share a passage and are not alike meet in one list, and no pair is made."""
+    from tallywarden.llm import jaccard
+
+    passage = " ".join(f"hot{i}" for i in range(60))
+    texts = [(i, passage + "".join(f" own{i}x{j}" for j in range(17 + i % 5))) for i in range(40)]
+    texts.append((40, texts[7][1] + " end"))
+    postings, pairs = [], []
+
+    def kept(df, label, release=True, stored=jaccard.stored):
+        out = stored(df, label, release)
+        if label in ("postings", "pairs"):
+            (postings if label == "postings" else pairs).append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard, "stored", kept)
+    got = jaccard.similar_documents(documents(spark, texts)).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == classes(texts, 80)
+    assert postings[-1] <= 2 * len(texts) < postings[0]
+    assert pairs[-1] == 0
+
+
 def test_components_of_chains(spark):
     from tallywarden.llm.components import components
 
