@@ -51,7 +51,11 @@ def start(shape: Shape, counts: np.ndarray, seed: int) -> np.ndarray:
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+    y = np.maximum(x, -30)  # beyond, the exponential grows out of range
+    np.negative(y, out=y)
+    np.exp(y, out=y)
+    y += 1
+    return np.reciprocal(y, out=y)
 
 
 def _step(x: np.ndarray, h: np.ndarray, u: np.ndarray):
@@ -103,6 +107,32 @@ def _outputs(h: np.ndarray, target: np.ndarray, p: list[np.ndarray], shape: Shap
     return out if grad is None else (out, dh)
 
 
+def _logs(h: np.ndarray, target: np.ndarray, p: list[np.ndarray], shape: Shape) -> np.ndarray:
+    """The log-probabilities of ``_outputs`` alone. Rows are sorted by class once, so a
+    class is a slice, and outputs stand in rows: numpy adds many columns up at a time."""
+    _, _, wc, bc, wo, bo = p
+    cls = target // shape.per_class
+    order = np.argsort(cls, kind="stable")
+    h, cls, target = h[order], cls[order], target[order]
+    places = np.arange(len(h))
+
+    def log_share(x: np.ndarray, at: np.ndarray) -> np.ndarray:
+        top = x.max(0)
+        mine = x[at, places[: len(at)]] - top
+        x -= top
+        return mine - np.log(np.exp(x, out=x).sum(0))
+
+    out = log_share(wc.T @ h.T + bc[:, None], cls)
+    edges = np.searchsorted(cls, np.arange(shape.classes + 1)).tolist()
+    for c, (a, b) in enumerate(zip(edges, edges[1:])):
+        if a < b:
+            lo, hi = c * shape.per_class, min(shape.words, (c + 1) * shape.per_class)
+            out[a:b] += log_share(wo[lo:hi] @ h[a:b].T + bo[lo:hi, None], target[a:b] - lo)
+    back = np.empty_like(out)
+    back[order] = out
+    return back
+
+
 class Lanes:
     """Texts laid end to end in lanes of about equal length, longest lane first.
     Each text is its ids; it is read from an end token and ends with one."""
@@ -151,7 +181,7 @@ def score(texts: list[np.ndarray], flat: np.ndarray, shape: Shape, lanes: int =
             h = _step(table[side.inputs[at]], h, u)[0]
             states.append(h)
         at = np.concatenate(places)
-        logs = _outputs(np.concatenate(states), side.targets[at], p, shape)
+        logs = _logs(np.concatenate(states), side.targets[at], p, shape)
         out += np.bincount(side.text[at], weights=logs.astype(np.float64), minlength=len(texts))
     return out / np.log(10)
 

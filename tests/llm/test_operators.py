@@ -317,6 +317,21 @@ def test_a_shared_passage_is_one_list(spark, monkeypatch):
     assert pairs[-1] == 0
 
 
+def test_logs_of_scoring_are_those_of_training():
+    from tallywarden.llm import recurrent
+
+    rng = np.random.default_rng(8)
+    shape = recurrent.Shape(101, 8, 11)
+    flat = recurrent.start(shape, rng.integers(1, 50, 101).astype(float), 1)
+    flat += rng.normal(0, 2, len(flat)).astype(np.float32)
+    h = rng.normal(0, 1, (500, 8)).astype(np.float32)
+    for target in (rng.integers(0, 101, 500), np.full(500, 100)):
+        p = recurrent.unpack(flat, shape)
+        assert np.allclose(recurrent._logs(h, target, p, shape), recurrent._outputs(h, target, p, shape), atol=1e-4)
+    x = np.array([[-500, -30, -1, 0, 2, 40, 500]], np.float32)
+    assert np.array_equal(recurrent._sigmoid(x), 1 / (1 + np.exp(-np.clip(x, -30, 30))))
+
+
 def test_components_of_chains(spark):
     from tallywarden.llm.components import components
 
