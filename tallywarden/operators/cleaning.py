@@ -147,13 +147,15 @@ def duplicate_log(df: DataFrame, row_idx: str, limit: int | None = None) -> Data
 
 
 def trim_text(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    return df.withColumns(
-        {
-            f.name: strip(F.col(f"`{f.name}`"))
-            for f in df.schema.fields
-            if isinstance(f.dataType, T.StringType) and (columns is None or f.name in columns)
-        }
-    )
+    return df.withColumns(trimmed_text(df.schema, columns))
+
+
+def trimmed_text(schema: T.StructType, columns: list[str] | None = None) -> dict[str, Column]:
+    return {
+        f.name: strip(F.col(f"`{f.name}`"))
+        for f in schema.fields
+        if isinstance(f.dataType, T.StringType) and (columns is None or f.name in columns)
+    }
 
 
 def row_totals(df: DataFrame, columns: list[str] | None = None, by: list[str] | None = None) -> DataFrame:

@@ -12,6 +12,7 @@ from tallywarden.functions.text import fill_template
 from tallywarden.operators import audit, evaluate, registry, rules, summary
 from tallywarden.operators.stages import StageCounts
 from tallywarden.sources.tables import scan_csv, store, upsert_partitions
+from tallywarden.sources import tables
 from tallywarden.streaming import microbatch
 
 
@@ -207,6 +208,32 @@ def test_stream_numbers_rows_and_chunks_on_arrival(spark, tmp_path):
         assert (total.rows_input, total.rows_stored, total.compliance_passed) == (57, len(want), True)
 
 
+@pytest.mark.parametrize("small", [2, 0])
+def test_small_files_are_numbered_as_others_but_read_once(spark, tmp_path, small):
+    for name, n in (("b", 25), ("a", 31), ("c", 1)):
+        (tmp_path / f"{name}.csv").write_text("a\n" + "".join(f"{name}{i}\n" for i in range(n)))
+    batch = tables._placed(scan_csv(spark, str(tmp_path), T.StructType.fromDDL("a string")))
+    got = microbatch._Numbering(batch.schema, "row_idx", "chunk", 10, small).numbered(batch)
+    want = {(name, i, i // 10) for name, n in (("b", 25), ("a", 31), ("c", 1)) for i in range(n)}
+    assert {(r.a[0], int(r.a[1:]), r.chunk) for r in got.collect()} == want
+    assert all(int(r.a[1:]) == r.row_idx and r.file.endswith(f"{r.a[0]}.csv") for r in got.collect())
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert ("Join" in plan, plan.count("Relation [")) == ((False, 1) if small else (True, 2))
+
+
+def test_a_stream_makes_its_expressions_once(spark, tmp_path, monkeypatch):
+    (tmp_path / "in").mkdir()
+    for k in range(4):
+        (tmp_path / "in" / f"{k}.csv").write_text(f"a\nx{k}\nx{k}\n")
+    made = []
+    checks = microbatch.five_checks
+    monkeypatch.setattr(microbatch, "five_checks", lambda data: made.append(data) or checks(data))
+    paths = [f"{tmp_path}/{d}" for d in ("rows", "metrics", "checkpoint")]
+    microbatch.ingest(spark, f"{tmp_path}/in", T.StructType.fromDDL("a string"), *paths, "row_idx", "chunk", 1, chunk_rows=10)
+    total = microbatch.running_totals(spark.read.parquet(paths[1])).first()
+    assert (total.rows_input, total.rows_stored) == (8, 4) and made == [["a"]]
+
+
 def test_partitions_are_replaced_one_by_one(spark, tmp_path):
     path = str(tmp_path / "t")
     upsert_partitions(spark.createDataFrame([("a", 1), ("b", 2), (None, 3)], "k string, v int"), path, ["k"])
